@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import simhash
+from saltmarsh.llm import langid, quality, simhash
 from saltmarsh.llm.common import table
 
 
+def op3_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_simhash_bktree": op7_simhash_bktree,
+    f.__name__: f for f in (op3_quality_bradley_terry, op7_simhash_bktree, op9_langid_centroids)
 }
 
 ORACLE_SQL: dict[str, str] = {}
