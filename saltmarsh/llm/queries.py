@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import langid, media, packing, pii, quality, simhash, toxicity
+from saltmarsh.llm import bpe, langid, media, packing, pii, quality, simhash, toxicity, warc
 from saltmarsh.llm.common import table
 
 
@@ -22,6 +22,16 @@ def op3_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity_subword, op2_media_sniffing, op3_quality_bradley_terry, op7_simhash_bktree, op8_best_fit_packing, op9_langid_centroids, op10_pii_surrogates)
+    for f in (op1_toxicity_subword, op2_media_sniffing, op3_quality_bradley_terry, op5_warc_transactions, op6_bpe_duckdb, op7_simhash_bktree, op8_best_fit_packing, op9_langid_centroids, op10_pii_surrogates)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_media_sniffing": media.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_media_sniffing": media.oracle(), "op5_warc_transactions": warc.ORACLE}
