@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import bpe, langid, media, packing, pii, quality, simhash, toxicity, warc
+from saltmarsh.llm import ann, bpe, langid, media, packing, pii, quality, simhash, toxicity, warc
 from saltmarsh.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ann_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(spark, table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity_subword, op2_media_sniffing, op3_quality_bradley_terry, op5_warc_transactions, op6_bpe_duckdb, op7_simhash_bktree, op8_best_fit_packing, op9_langid_centroids, op10_pii_surrogates)
+    for f in (op1_toxicity_subword, op2_media_sniffing, op3_quality_bradley_terry, op4_ann_nn_descent, op5_warc_transactions, op6_bpe_duckdb, op7_simhash_bktree, op8_best_fit_packing, op9_langid_centroids, op10_pii_surrogates)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_media_sniffing": media.oracle(), "op5_warc_transactions": warc.ORACLE}
