@@ -18,8 +18,13 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, m
     known = labels.filter(usable & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
+    if not total:
+        return [], [], {}
+    # about twice the rows wanted of each label get so far; without this every task would send as many as are wanted
+    part = F.create_map(*(F.lit(x) for k, n in shares.items() for x in (k, (2.0 * per_class + 200) / n)))
+    near = known.filter(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < part[F.col("label")])
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).select("doc_id", "label").distinct()
+    chosen = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).select("doc_id", "label").distinct()
     # at most per_class rows for each label, so the broadcast has a fixed bound
     found = (
         docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
