@@ -20,8 +20,9 @@ LETTER = regex.compile(r"\p{L}")
 BUCKETS, CENTROIDS = 1 << 13, 4
 #: Bounds of the training sample: documents of each language, characters of a document.
 PER_CLASS, MAX_CHARS = 600, 50_000
-#: How much farther from a centroid than its farthest training text a text may be.
-SLACK = 0.05
+#: How much farther from a centroid than its farthest training text a text may be; distances that are always
+#: accepted (short texts share few n-grams with any centroid) and never (texts of other scripts share next to none).
+SLACK, NEAR, FAR = 0.05, 0.9, 0.97
 UNKNOWN = "und"
 _ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -97,7 +98,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
         far = 1 - (own * at[of]).sum(1)
         centroids.append(at)
         names += [lang] * len(at)
-        reach.append([min(far[of == i].max(initial=0.5) + SLACK, 0.97) for i in range(len(at))])
+        reach.append([min(max(far[of == i].max(initial=0.5) + SLACK, NEAR), FAR) for i in range(len(at))])
     model.centroids, model.names, model.reach = np.concatenate(centroids).astype(np.float32), names, np.concatenate(reach)
     return model
 
