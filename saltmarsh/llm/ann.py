@@ -24,11 +24,11 @@ from saltmarsh.llm.common import checkpoint
 #: Neighbours of a node; those that have it as a neighbour and take part in a round; candidates that a node gets from one neighbourhood.
 NEIGHBOURS, REVERSE, OFFERS = 32, 32, 6
 #: Rounds at most, and the share of changed edges below which they end.
-ROUNDS, CHANGED = 7, 0.03
+ROUNDS, CHANGED = 5, 0.03
 #: Mean nodes of a random block at the start, deals of blocks, entry nodes, entries that a query starts from.
 BLOCK, DEALS, ENTRIES, STARTS = 64, 3, 1024, 16
 #: Nodes that a query keeps, nodes that it expands in a step, steps at most.
-BEAM, STEP, STEPS = 128, 24, 8
+BEAM, STEP, STEPS = 256, 64, 6
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -175,10 +175,38 @@ def graph(codes: DataFrame) -> DataFrame:
     return edges.select("node", "near", "score")
 
 
-def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        score = np.einsum("ij,ij->i", _matrix(batch.column("query"), "<f4"), _matrix(batch.column("code"), np.int8).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("near"), pa.array(score.astype(np.float32), pa.float32())], ["q", "near", "score"])
+BEAM_ROW = "q long, near long, score float, done boolean, front boolean"
+
+
+def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, near, score, done, code, query) by q -> BEAM_ROW. A query's rows are its vector (query), what
+    it has (score) and what it meets (code); the BEAM best stay and the STEP best that aren't done go next."""
+    for batch in _groups(batches, "q"):
+        if not batch.num_rows:
+            continue
+        q, near = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "near"))
+        score, done = batch.column("score").to_numpy(zero_copy_only=False).astype(np.float64), batch.column("done").to_pylist()
+        codes, queries = batch.column("code").to_pylist(), batch.column("query").to_pylist()
+        done = np.array([bool(d) for d in done])
+        for a, b in _bounds(q):
+            vector = next((x for x in queries[a:b] if x is not None), None)
+            if vector is None:
+                continue
+            vector = np.frombuffer(vector, "<f4")
+            met = [i for i in range(a, b) if codes[i] is not None]
+            if met:
+                score[met] = np.frombuffer(b"".join(codes[i] for i in met), np.int8).reshape(len(met), -1).astype(np.float32) @ vector
+            rows = np.array([i for i in range(a, b) if queries[i] is None], np.int64)
+            if not len(rows):
+                continue
+            rows = rows[np.lexsort((~done[rows], near[rows]))]  # of rows of one node, that which is done
+            rows = rows[np.r_[True, near[rows][1:] != near[rows][:-1]]]
+            rows = rows[np.lexsort((near[rows], -score[rows]))[:BEAM]]
+            front = np.zeros(len(rows), bool)
+            front[np.flatnonzero(~done[rows])[:STEP]] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q[rows]), pa.array(near[rows]), pa.array(score[rows].astype(np.float32)), pa.array(done[rows] | front), pa.array(front)], ["q", "near", "score", "done", "front"]
+            )
 
 
 def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -205,18 +233,20 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("near").alias("at"), F.col("node").alias("near")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= REVERSE).drop("nth")
     around = checkpoint(edges.select(F.col("node").alias("at"), "near").unionByName(back).repartition("at").groupBy("at").agg(F.collect_set("near").alias("around")))
     own = queries.filter("own is not null").select("q", F.col("own").alias("near"), F.lit(float("inf")).cast("float").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "near")
-    start = queries.mapInArrow(enter, schema).unionByName(own).groupBy("q", "near").agg(F.max("score").alias("score"))
-    beam = checkpoint(start.withColumn("done", F.lit(False)))
+    blank = lambda kind: F.lit(None).cast(kind)
+    vectors = queries.select("q", F.lit(-1).cast("long").alias("near"), blank("float").alias("score"), blank("boolean").alias("done"), blank("binary").alias("code"), "query")
+
+    def advance(beam: DataFrame, met: DataFrame | None) -> DataFrame:
+        rows = vectors.unionByName(beam.select("q", "near", "score", "done", blank("binary").alias("code"), blank("binary").alias("query")))
+        if met is not None:
+            rows = rows.unionByName(met.select("q", "near", blank("float").alias("score"), F.lit(False).alias("done"), "code", blank("binary").alias("query")))
+        return checkpoint(rows.repartition("q").sortWithinPartitions("q").mapInArrow(_advance, BEAM_ROW))
+
+    beam = advance(queries.mapInArrow(enter, schema).unionByName(own).withColumn("done", F.lit(False)), None)
     for _ in range(STEPS):
-        ranked = beam.withColumn("wait", F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "near")))
-        front = ranked.filter(~F.col("done") & (F.col("wait") <= STEP))
-        met = front.select("q", F.col("near").alias("at")).join(around, "at").select("q", F.explode("around").alias("near")).distinct()
-        new = met.join(beam.select("q", "near"), ["q", "near"], "left_anti")
-        scored = new.join(codes.select(F.col("node").alias("near"), "code"), "near").join(queries.select("q", "query"), "q").select("q", "near", "query", "code").mapInArrow(_score, schema)
-        went = ranked.select("q", "near", "score", (F.col("done") | (F.col("wait") <= STEP)).alias("done"))
-        beam = checkpoint(went.unionByName(scored.withColumn("done", F.lit(False))).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= BEAM).drop("nth"))
-        if beam.filter(~F.col("done")).isEmpty():
+        met = beam.filter("front").select("q", F.col("near").alias("at")).join(around, "at").select("q", F.explode("around").alias("near")).distinct()
+        beam = advance(beam, met.join(codes.select(F.col("node").alias("near"), "code"), "near"))
+        if beam.filter("front").isEmpty():
             break
     return beam.select("q", "near")
 
