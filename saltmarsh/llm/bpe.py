@@ -36,23 +36,20 @@ MERGE = f"""
 WITH RECURSIVE s AS (
   SELECT w, p, t, 0 AS i FROM start
   UNION ALL
-  SELECT w, p, CASE WHEN p = first THEN m ELSE t END, i + 1
-  FROM (
-    SELECT s.w, s.p, s.t, s.i, best.first, best.m, lag(s.p) OVER (PARTITION BY s.w ORDER BY s.p) AS before
-    FROM s JOIN (
-      SELECT w, (min(k) // {_PLACE})::INT AS m, (min(k) % {_PLACE})::INT AS first
-      FROM (
-        SELECT pair.w, merges.m::BIGINT * {_PLACE} + pair.p AS k
-        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS u FROM s) pair
-        JOIN merges ON merges.l = pair.t AND merges.r = pair.u
-      ) GROUP BY w
-    ) best ON best.w = s.w
-  )
-  WHERE before IS NULL OR before <> first
+  SELECT s.w, s.p, CASE WHEN s.p = best.first THEN best.m ELSE s.t END, s.i + 1
+  FROM s JOIN (
+    SELECT w, (min(k) // {_PLACE * _PLACE})::INT AS m, (min(k) // {_PLACE} % {_PLACE})::INT AS first, (min(k) % {_PLACE})::INT AS gone
+    FROM (
+      SELECT pair.w, (merges.m::BIGINT * {_PLACE} + pair.p) * {_PLACE} + pair.q AS k
+      FROM (SELECT w, p, t, lead(t) OVER beside AS u, lead(p) OVER beside AS q FROM s WINDOW beside AS (PARTITION BY w ORDER BY p)) pair
+      JOIN merges ON merges.l = pair.t AND merges.r = pair.u
+    ) GROUP BY w
+  ) best ON best.w = s.w
+  WHERE s.p <> best.gone
 )
 SELECT w, list(t ORDER BY p) AS ids
-FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM s)
-WHERE i = last GROUP BY w
+FROM s JOIN (SELECT w, max(i) AS i FROM s GROUP BY w) USING (w, i)
+GROUP BY w
 """
 JOIN = "SELECT d, string_agg(h, '' ORDER BY p) AS h FROM placed JOIN vocabulary USING (t) GROUP BY d"
 
