@@ -212,7 +212,8 @@ def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     """queries (q, query binary, own long: the query's own node, or null) -> (q, near): BEAM nodes of each query."""
     entries = codes.orderBy(F.xxhash64("node", F.lit(3))).limit(ENTRIES).select("node", "code").collect()  # ENTRIES at most
-    entry_ids, entry_codes = np.array([r["node"] for r in entries], np.int64), np.frombuffer(b"".join(bytes(r["code"]) for r in entries), np.int8).reshape(len(entries), -1)
+    entry_ids = np.array([r["node"] for r in entries], np.int64)
+    entry_codes = np.array([np.frombuffer(bytes(r["code"]), np.int8) for r in entries], np.int8)
 
     def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = entry_codes.astype(np.float32).T
