@@ -145,21 +145,34 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     return reshape(key, kind, text)
 
 
+#: Numbers that stand side by side look like one to NUMBER; these are the forms that are told apart then.
+APART = re.compile(r"(?<![\d.])(?:\+\d{1,3} ?\(\d{1,5}\) ?\d{3}[ -]\d{4}|\(\d{1,5}\) ?\d{3}[ -]\d{4}|\d{4}(?:[ -]\d{4}){3}|\d{13,19}|\d{1,3}(?:\.\d{1,3}){3}|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
+
+
+def _kind(said: str) -> str | None:
+    n = sum(map(str.isdigit, said))
+    parts = said.split(".")
+    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) < 256 and str(int(p)) == p for p in parts):
+        return "ip"
+    if 10 <= n <= 15 and (said[0] == "+" or "(" in said):
+        return "phone"
+    if 13 <= n <= 19 and re.fullmatch(r"\d+|\d{4}(?:[ -]\d{3,6}){2,4}", said):
+        return "account"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", said):
+        return "id"
+    return "phone" if re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", said) else None
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
     for m in NUMBER.finditer(text):
-        said = m.group()
-        n = sum(map(str.isdigit, said))
-        parts = said.split(".")
-        if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) < 256 and str(int(p)) == p for p in parts):
-            yield m.start(), m.end(), "ip"
-        elif 10 <= n <= 15 and (said[0] == "+" or "(" in said):
-            yield m.start(), m.end(), "phone"
-        elif 13 <= n <= 19 and re.fullmatch(r"\d+|\d{4}(?:[ -]\d{3,6}){2,4}", said):
-            yield m.start(), m.end(), "account"
-        elif re.fullmatch(r"\d{3}-\d{2}-\d{4}", said):
-            yield m.start(), m.end(), "id"
-        elif re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", said):
-            yield m.start(), m.end(), "phone"
+        kind = _kind(m.group())
+        if kind:
+            yield m.start(), m.end(), kind
+        elif m.end() - m.start() > 12:
+            for part in APART.finditer(m.group()):
+                kind = _kind(part.group())
+                if kind:
+                    yield m.start() + part.start(), m.start() + part.end(), kind
 
 
 def detect(text: str | None) -> list[tuple[int, int, str]]:

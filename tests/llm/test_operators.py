@@ -473,3 +473,9 @@ def test_library_needs_no_llm():
             for name in names:
                 if name.endswith(".py"):
                     assert "saltmarsh.llm" not in open(os.path.join(at, name)).read(), name
+
+
+def test_numbers_side_by_side():
+    text = "97.51.17.173 9807915762804490 and 9807915762804490 +1 (017) 555-7713 123-45-6789 1"
+    assert [k for k, _, _ in pii.replace(text)[1]] == ["ip", "account", "account", "phone", "id"]
+    assert pii.replace("1.2.3.4.5 v 1.2.3, 2022-10-11 2023-11-12 2024-12-13")[1] == []
