@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph, searched greedily.
 
-Equal vectors are one node. A node's code is its vector, scaled by the greatest norm and
-extended by one component to unit length, in 8-bit numbers: the inner products of such
-extended vectors order neighbours as their distances do. The graph starts from random blocks
-and is improved by rounds in which Spark joins bring each node's neighbours, and those that
-have it as a neighbour, together with their codes; pairs among these (neighbours of
-neighbours) that beat what a node has replace it. Queries walk the graph from a bounded sample
-of entry nodes and from their own node, and what they end with is scored in double precision
+Equal vectors are one node. A node's code is its direction in 32-bit numbers, with its norm
+beside it as a share of the greatest norm: neither loses precision by what other vectors are
+like. Neighbours are those at the least distance after vectors are extended by one component
+to the greatest norm. The graph starts from random blocks and is improved by rounds in which
+Spark joins bring each node's neighbours, and those that have it as a neighbour, together with
+their codes; pairs among these (neighbours of neighbours) that beat what a node has replace
+it. Queries walk the graph from bounded samples of entry nodes (of all nodes, and those of the
+greatest norms) and from their own node, and what they end with is scored in double precision
 on the original vectors.
 """
 
@@ -51,29 +52,38 @@ def nodes(kept: DataFrame, copies: int) -> DataFrame:
     return few.groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _matrix(column: pa.Array, kind, width: int | None = None) -> np.ndarray:
-    data = np.frombuffer(b"".join(column.to_pylist()), kind)
-    return data.reshape(len(column), -1) if len(column) else data.reshape(0, width or 1)
-
-
 def coded(found: DataFrame) -> DataFrame:
-    """(node, v, ids) -> (node, code binary, query binary): the code, and the vector as 32-bit numbers
-    extended by a zero, with which a query's inner product with codes is that of the vectors, scaled."""
+    """(node, v, ids) -> (node, norm double, code binary): the norm as a share of the greatest, and the
+    code, which is the norm as a 64-bit number and then the vector's direction in 32-bit numbers."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    top = found.agg(F.max(norm).alias("norm"), F.max(F.array_max(F.transform("v", F.abs))).alias("part"), F.min(norm).alias("least")).first()
-    longest = top["norm"] or 1.0
-    rest = max(1 - ((top["least"] or 0) / longest) ** 2, 0) ** 0.5
-    scale = 127 / max((top["part"] or 1.0) / longest, rest, 1e-12)
+    longest = found.agg(F.max(norm)).first()[0] or 1.0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1) / longest
-            more = np.sqrt(np.clip(1 - (x * x).sum(1), 0, None))[:, None]
-            codes = np.clip(np.rint(np.concatenate([x, more], 1) * scale), -127, 127).astype(np.int8)
-            query = np.concatenate([x, np.zeros_like(more)], 1).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([q.tobytes() for q in query], pa.binary())], ["node", "code", "query"])
+            x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            size = np.sqrt((x * x).sum(1))
+            share, unit = size / longest, (x / np.where(size > 0, size, 1)[:, None]).astype("<f4")
+            codes = [n.tobytes() + u.tobytes() for n, u in zip(share.astype("<f8"), unit)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(share), pa.array(codes, pa.binary())], ["node", "norm", "code"])
+
+    return found.select("node", "v").mapInArrow(run, "node long, norm double, code binary")
+
 
-    return found.select("node", "v").mapInArrow(run, "node long, code binary, query binary")
+def _decoded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Norms and directions of codes."""
+    data = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return np.ascontiguousarray(data[:, :8]).view("<f8")[:, 0], np.ascontiguousarray(data[:, 8:]).view("<f4")
+
+
+def _closeness(norm: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all pairs, each extended by one component to the greatest norm. That
+    component's differences are taken from the squares' ones: for short vectors its own ones would cancel out."""
+    square = norm * norm
+    more = np.sqrt(np.clip(1 - square, 0, None))
+    apart = square[:, None] - square[None, :]
+    rise = apart / np.maximum(more[:, None] + more[None, :], 1e-150)
+    x = unit.astype(np.float64) * norm[:, None]
+    return 2 * (x @ x.T) - (square[:, None] + square[None, :]) - np.where(apart == 0, 0, rise * rise)
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -106,12 +116,12 @@ def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         at, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "member"))
         fresh, least = batch.column("fresh").to_numpy(zero_copy_only=False), batch.column("least").to_numpy(zero_copy_only=False)
-        code = _matrix(batch.column("code"), np.int8).astype(np.float32)
+        norm, unit = _decoded(batch.column("code").to_pylist())
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in _bounds(at):
             if b - a < 2 or not fresh[a:b].any():
                 continue
-            score = code[a:b] @ code[a:b].T
+            score = _closeness(norm[a:b], unit[a:b]).astype(np.float32)
             bad = ~(fresh[a:b, None] | fresh[None, a:b])
             np.fill_diagonal(bad, True)
             score[bad | (score <= least[a:b, None])] = -np.inf
@@ -131,11 +141,11 @@ def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         block, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node"))
-        code = _matrix(batch.column("code"), np.int8).astype(np.float32)
+        norm, unit = _decoded(batch.column("code").to_pylist())
         for a, b in _bounds(block):
             if b - a < 2:
                 continue
-            score = code[a:b] @ code[a:b].T
+            score = _closeness(norm[a:b], unit[a:b]).astype(np.float32)
             np.fill_diagonal(score, -np.inf)
             n = min(NEIGHBOURS // DEALS + 4, b - a - 1)
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
@@ -178,6 +188,11 @@ def graph(codes: DataFrame) -> DataFrame:
 BEAM_ROW = "q long, near long, score float, done boolean, front boolean"
 
 
+def _products(direction: np.ndarray, norm: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Inner products with a direction, row by row, so that a node has the same one whatever it is met with."""
+    return ((unit * direction).sum(1, dtype=np.float64) * norm).astype(np.float32)
+
+
 def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (q, near, score, done, code, query) by q -> BEAM_ROW. A query's rows are its vector (query), what
     it has (score) and what it meets (code); the BEAM best stay and the STEP best that aren't done go next."""
@@ -192,10 +207,10 @@ def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vector = next((x for x in queries[a:b] if x is not None), None)
             if vector is None:
                 continue
-            vector = np.frombuffer(vector, "<f4")
+            direction = _decoded([vector])[1][0]
             met = [i for i in range(a, b) if codes[i] is not None]
             if met:
-                score[met] = np.frombuffer(b"".join(codes[i] for i in met), np.int8).reshape(len(met), -1).astype(np.float32) @ vector
+                score[met] = _products(direction, *_decoded([codes[i] for i in met]))
             rows = np.array([i for i in range(a, b) if queries[i] is None], np.int64)
             if not len(rows):
                 continue
@@ -211,19 +226,21 @@ def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     """queries (q, query binary, own long: the query's own node, or null) -> (q, near): BEAM nodes of each query."""
-    entries = codes.orderBy(F.xxhash64("node", F.lit(3))).limit(ENTRIES).select("node", "code").collect()  # ENTRIES at most
-    entry_ids = np.array([r["node"] for r in entries], np.int64)
-    entry_codes = np.array([np.frombuffer(bytes(r["code"]), np.int8) for r in entries], np.int8)
+    sampled = codes.orderBy(F.xxhash64("node", F.lit(3))).limit(ENTRIES).select("node", "code").collect()  # ENTRIES at most
+    longest = codes.orderBy(F.desc("norm"), "node").limit(ENTRIES).select("node", "code").collect()  # a neighbour graph leads to short vectors, products to long ones
+    entries = {r["node"]: bytes(r["code"]) for r in [*sampled, *longest]}
+    entry_ids, entry_codes = np.array(list(entries), np.int64), list(entries.values())
 
     def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = entry_codes.astype(np.float32).T
+        norm, unit = _decoded(entry_codes) if entry_codes else (np.zeros(0), np.zeros((0, 1), np.float32))
+        table = (unit * norm[:, None]).T  # double
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 if not len(entry_ids):
                     continue
-                score = _matrix(part.column("query"), "<f4") @ table
-                n = min(max(STARTS, BEAM if len(entry_ids) < ENTRIES else 0), len(entry_ids))
+                score = _decoded(part.column("query").to_pylist())[1] @ table
+                n = min(max(STARTS, BEAM if len(sampled) < ENTRIES else 0), len(entry_ids))
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(part.column("q").to_numpy(), n)), pa.array(entry_ids[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float32))], ["q", "near", "score"]
@@ -265,7 +282,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     edges = graph(codes)
     asking = kept.filter(is_query).distinct().join(distinct.select("v", "node"), "v").select("vec_id", "node", "v")
     asking = checkpoint(asking)
-    queries = codes.join(asking.select("node").distinct(), "node").select(F.col("node").alias("q"), "query", F.col("node").alias("own"))
+    queries = codes.join(asking.select("node").distinct(), "node").select(F.col("node").alias("q"), F.col("code").alias("query"), F.col("node").alias("own"))
     found = search(checkpoint(queries), codes, edges)
     sides = found.join(distinct.select(F.col("node").alias("near"), F.col("v").alias("other"), "ids"), "near").join(distinct.select(F.col("node").alias("q"), "v"), "q")
 

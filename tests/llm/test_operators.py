@@ -258,6 +258,27 @@ def test_nearest_equals_brute_force(spark):
     assert set(got) == set(range(0, 700, 20)) and hit / (20 * len(got)) > 0.95
 
 
+def recall_of(spark, x, k=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.digest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == k
+        hit += len(got[q] & set(np.argsort(-s)[:k].tolist()))
+    return hit / (k * len(got))
+
+
+def test_one_long_vector_leaves_the_others_apart(spark):
+    x = np.random.default_rng(5).normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[77] *= 1000
+    assert recall_of(spark, x) > 0.97
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [0.5, 0.5]), (4, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.digest(df).collect())
