@@ -13,6 +13,7 @@ on the original vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,14 +23,23 @@ from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import checkpoint
 
-#: Neighbours of a node; those that have it as a neighbour and take part in a round; candidates that a node gets from one neighbourhood.
-NEIGHBOURS, REVERSE, OFFERS = 32, 32, 6
-#: Rounds at most, and the share of changed edges below which they end.
-ROUNDS, CHANGED = 5, 0.03
+#: Neighbours of a node and nodes that a query keeps, in tables of up to SMALL nodes; `kept_of` has those of larger ones.
+NEIGHBOURS, BEAM, SMALL = 32, 256, 8192
+#: Those that have a node as a neighbour and meet in one part of its neighbourhood; in a search, those that lead on from it.
+REVERSE = 32
+#: The share of changed edges below which rounds end.
+CHANGED = 0.03
 #: Mean nodes of a random block at the start, deals of blocks, entry nodes, entries that a query starts from.
 BLOCK, DEALS, ENTRIES, STARTS = 64, 3, 1024, 16
-#: Nodes that a query keeps, nodes that it expands in a step, steps at most.
-BEAM, STEP, STEPS = 256, 64, 6
+#: Nodes that a query expands in a step.
+STEP = 64
+
+
+def kept_of(n: int) -> tuple[int, int]:
+    """Neighbours of a node and nodes that a query keeps, in a table of n nodes: four more neighbours
+    and a beam larger by the square root of two each time that n doubles."""
+    times = max(n / SMALL, 1)
+    return NEIGHBOURS + round(4 * math.log2(times)), round(BEAM * times**0.5)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -108,9 +118,9 @@ def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip([0, *ends], ends)
 
 
-def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, member, fresh, least, code) by neighbourhood -> (node, near, score): for each member the
-    OFFERS best of the neighbourhood that beat its worst neighbour, of pairs with a fresh edge."""
+def _join(batches: Iterable[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
+    """Rows (at, member, fresh, least, code) by neighbourhood -> (node, near, score): for each member those of the
+    neighbourhood that beat its worst neighbour, of pairs with a fresh edge; no more than it can keep."""
     for batch in _groups(batches, "at"):
         if not batch.num_rows:
             continue
@@ -125,7 +135,7 @@ def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bad = ~(fresh[a:b, None] | fresh[None, a:b])
             np.fill_diagonal(bad, True)
             score[bad | (score <= least[a:b, None])] = -np.inf
-            n = min(OFFERS, b - a - 1)
+            n = min(neighbours, b - a - 1)
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
             near = np.take_along_axis(score, best, 1)
             i, j = np.nonzero(near > -np.inf)
@@ -135,8 +145,8 @@ def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(near), pa.array(score.astype(np.float32))], ["node", "near", "score"])
 
 
-def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, node, code) -> each node's NEIGHBOURS best of its block."""
+def _first(batches: Iterable[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, node, code) -> the best of each node's block, of all deals a few more than it can keep."""
     for batch in _groups(batches, "block"):
         if not batch.num_rows:
             continue
@@ -147,7 +157,7 @@ def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             score = _closeness(norm[a:b], unit[a:b]).astype(np.float32)
             np.fill_diagonal(score, -np.inf)
-            n = min(NEIGHBOURS // DEALS + 4, b - a - 1)
+            n = min(neighbours // DEALS + 4, b - a - 1)
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(node[a:b], n)), pa.array(node[a:b][best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], ["node", "near", "score"]
@@ -158,31 +168,36 @@ EDGE = "node long, near long, score float"
 
 
 def graph(codes: DataFrame) -> DataFrame:
-    """codes (node, code, ...) -> (node, near, score): each node's nearest as NN-descent finds them."""
-    blocks = max(1, codes.count() // BLOCK)
+    """codes (node, code, ...) -> (node, near, score): each node's nearest as NN-descent finds them.
+    Rounds end when few edges change: a round only puts nearer ones in the place of others."""
+    count = codes.count()
+    blocks, (neighbours, _) = max(1, count // BLOCK), kept_of(count)
     best = Window.partitionBy("node").orderBy(F.desc("score"), "near")
 
     def kept(found: DataFrame) -> DataFrame:
         one = found.repartition("node").groupBy("node", "near").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
-        return checkpoint(one.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= NEIGHBOURS).drop("nth"))
+        return checkpoint(one.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= neighbours).drop("nth"))
 
     # blocks of several deals overlap, so that the first neighbours of neighbours are from all over
     dealt = codes.select(F.explode(F.array(*(F.struct(F.lit(i).alias("deal"), F.pmod(F.xxhash64("node", F.lit(i)), F.lit(blocks)).alias("b")) for i in range(DEALS)))).alias("d"), "node", "code")
     first = dealt.select((F.col("d.b") * DEALS + F.col("d.deal")).alias("block"), "node", "code")
-    edges = kept(first.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_first, EDGE).withColumn("fresh", F.lit(True)))
-    for _ in range(ROUNDS):
+    edges = kept(first.repartition("block").sortWithinPartitions("block", "node").mapInArrow(lambda found: _first(found, neighbours), EDGE).withColumn("fresh", F.lit(True)))
+    turn = 0
+    while True:
         least = edges.groupBy("node").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        bar = least.select(F.col("node").alias("member"), F.when(F.col("n") >= NEIGHBOURS, F.col("least")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        order = Window.partitionBy("at").orderBy(F.desc("fresh"), F.xxhash64("member", "at"))
-        back = edges.select(F.col("near").alias("at"), F.col("node").alias("member"), "fresh").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= REVERSE).drop("nth")
-        both = edges.select(F.col("node").alias("at"), F.col("near").alias("member"), "fresh").unionByName(back).repartition("at").groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
+        bar = least.select(F.col("node").alias("member"), F.when(F.col("n") >= neighbours, F.col("least")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
+        # all that have a node as a neighbour take part: in parts of about REVERSE, dealt anew each round, each with all of the node's own neighbours
+        parts = edges.groupBy(F.col("near").alias("at")).agg(F.ceil(F.count("*") / REVERSE).cast("int").alias("parts"))
+        forth = edges.select(F.col("node").alias("at"), F.col("near").alias("member"), "fresh").join(parts, "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        back = edges.select(F.col("near").alias("at"), F.col("node").alias("member"), "fresh").join(parts, "at").withColumn("part", F.pmod(F.xxhash64("member", "at", F.lit(turn)), F.col("parts")).cast("int"))
+        columns = [F.xxhash64("at", "part").alias("at"), "member", "fresh"]
+        both = forth.select(*columns).unionByName(back.select(*columns)).repartition("at").groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
         told = both.join(codes.select(F.col("node").alias("member"), "code").join(bar, "member", "left"), "member").select("at", "member", "fresh", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"), "code")
-        offers = told.repartition("at").sortWithinPartitions("at", "member").mapInArrow(_join, EDGE)
+        offers = told.repartition("at").sortWithinPartitions("at", "member").mapInArrow(lambda found: _join(found, neighbours), EDGE)
         edges = kept(edges.select("node", "near", "score", F.lit(False).alias("fresh")).unionByName(offers.withColumn("fresh", F.lit(True))))
-        changed = edges.agg(F.count_if("fresh"), F.count("*")).first()
+        changed, turn = edges.agg(F.count_if("fresh"), F.count("*")).first(), turn + 1
         if changed[0] <= CHANGED * changed[1]:
-            break
-    return edges.select("node", "near", "score")
+            return edges.select("node", "near", "score")
 
 
 BEAM_ROW = "q long, near long, score float, done boolean, front boolean"
@@ -193,9 +208,9 @@ def _products(direction: np.ndarray, norm: np.ndarray, unit: np.ndarray) -> np.n
     return ((unit * direction).sum(1, dtype=np.float64) * norm).astype(np.float32)
 
 
-def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _advance(batches: Iterable[pa.RecordBatch], beam: int) -> Iterator[pa.RecordBatch]:
     """Rows (q, near, score, done, code, query) by q -> BEAM_ROW. A query's rows are its vector (query), what
-    it has (score) and what it meets (code); the BEAM best stay and the STEP best that aren't done go next."""
+    it has (score) and what it meets (code); the `beam` best stay and the STEP best that aren't done go next."""
     for batch in _groups(batches, "q"):
         if not batch.num_rows:
             continue
@@ -216,7 +231,7 @@ def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rows = rows[np.lexsort((~done[rows], near[rows]))]  # of rows of one node, that which is done
             rows = rows[np.r_[True, near[rows][1:] != near[rows][:-1]]]
-            rows = rows[np.lexsort((near[rows], -score[rows]))[:BEAM]]
+            rows = rows[np.lexsort((near[rows], -score[rows]))[:beam]]
             front = np.zeros(len(rows), bool)
             front[np.flatnonzero(~done[rows])[:STEP]] = True
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +240,9 @@ def _advance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
-    """queries (q, query binary, own long: the query's own node, or null) -> (q, near): BEAM nodes of each query."""
+    """queries (q, query binary, own long: the query's own node, or null) -> (q, near): the nodes that each query keeps.
+    A query ends when it has expanded all that it keeps, which it does, as it only exchanges nodes for better ones."""
+    width = kept_of(codes.count())[1]
     sampled = codes.orderBy(F.xxhash64("node", F.lit(3))).limit(ENTRIES).select("node", "code").collect()  # ENTRIES at most
     longest = codes.orderBy(F.desc("norm"), "node").limit(ENTRIES).select("node", "code").collect()  # a neighbour graph leads to short vectors, products to long ones
     entries = {r["node"]: bytes(r["code"]) for r in [*sampled, *longest]}
@@ -240,7 +257,7 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
                 if not len(entry_ids):
                     continue
                 score = _decoded(part.column("query").to_pylist())[1] @ table
-                n = min(max(STARTS, BEAM if len(sampled) < ENTRIES else 0), len(entry_ids))
+                n = min(max(STARTS, width if len(sampled) < ENTRIES else 0), len(entry_ids))
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(part.column("q").to_numpy(), n)), pa.array(entry_ids[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float32))], ["q", "near", "score"]
@@ -258,14 +275,12 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
         rows = vectors.unionByName(beam.select("q", "near", "score", "done", blank("binary").alias("code"), blank("binary").alias("query")))
         if met is not None:
             rows = rows.unionByName(met.select("q", "near", blank("float").alias("score"), F.lit(False).alias("done"), "code", blank("binary").alias("query")))
-        return checkpoint(rows.repartition("q").sortWithinPartitions("q").mapInArrow(_advance, BEAM_ROW))
+        return checkpoint(rows.repartition("q").sortWithinPartitions("q").mapInArrow(lambda found: _advance(found, width), BEAM_ROW))
 
     beam = advance(queries.mapInArrow(enter, schema).unionByName(own).withColumn("done", F.lit(False)), None)
-    for _ in range(STEPS):
+    while not beam.filter("front").isEmpty():
         met = beam.filter("front").select("q", F.col("near").alias("at")).join(around, "at").select("q", F.explode("around").alias("near")).distinct()
         beam = advance(beam, met.join(codes.select(F.col("node").alias("near"), "code"), "near"))
-        if beam.filter("front").isEmpty():
-            break
     return beam.select("q", "near")
 
 

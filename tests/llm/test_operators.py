@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -279,6 +280,26 @@ def test_one_long_vector_leaves_the_others_apart(spark):
     assert recall_of(spark, x) > 0.97
 
 
+def test_a_search_goes_on_until_nothing_is_left_to_expand(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ENTRIES", 1)
+    n = 24  # an arc of nodes of which each knows the next one only
+    rows = [(i, [float(np.cos(i / n)), float(np.sin(i / n))], [i]) for i in range(n)]
+    codes = ann.coded(spark.createDataFrame(rows, "node long, v array<double>, ids array<long>")).localCheckpoint()
+    edges = spark.createDataFrame([(i, i + 1, 0.0) for i in range(n - 1)], "node long, near long, score float")
+    queries = codes.filter("node = 12").select(F.lit(99).cast("long").alias("q"), F.col("code").alias("query"), F.lit(None).cast("long").alias("own"))
+    assert sorted(r.near for r in ann.search(queries, codes, edges).collect()) == list(range(n))
+
+
+def test_a_neighbourhood_offers_all_that_fit():
+    x = np.random.default_rng(1).normal(size=(20, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes = [np.float64(1).tobytes() + v.astype("<f4").tobytes() for v in x]
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 20), pa.array(range(20)), pa.array([True] * 20), pa.array([-np.inf] * 20, pa.float32()), pa.array(codes, pa.binary())], ["at", "member", "fresh", "least", "code"])
+    (got,) = ann._join([rows], 32)
+    assert len(set(zip(got.column("node").to_pylist(), got.column("near").to_pylist()))) == 20 * 19
+    assert ann.kept_of(5) == (32, 256) and ann.kept_of(4 * ann.SMALL) == (40, 512)
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [0.5, 0.5]), (4, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.digest(df).collect())
