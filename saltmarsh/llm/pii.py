@@ -6,8 +6,8 @@ and case), the string is a number below the product of the radices, and a Feiste
 that range, conjugated with a shift, maps it to another one. So equal originals get equal
 surrogates anywhere in the corpus, different ones different surrogates, and none itself, with
 nothing to look up or to gather. Given names are permuted within a list of their gender.
-`collisions` checks the distinctness over a whole corpus; `resolve` takes the first key
-version without a collision.
+`collisions` checks the distinctness over a whole corpus; `resolve` gives entities that still
+collide a version of the key of their own.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ NAMES = {
 }
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f"}
 
-ALPHABETS = ["0123456789", *(f(x) for x in ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäéèêëíìîïóòôöúùûü", "ñçšžłřčď", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя") for f in (str, str.upper))]
+ALPHABETS = ["0123456789", *(f(x) for x in ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäéèêëíìîïóòôöúùûü", "ñçšžłřčď", "ãåæõøýþð", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя") for f in (str, str.upper))]
 _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
@@ -41,6 +41,7 @@ EMAIL = re.compile(r"[A-Za-z0-9À-ɏ](?:[\wÀ-ɏ.%+-]*[\wÀ-ɏ])?@(?:[A-Za-z0-9]
 SECRET = re.compile(r"""[=:][ \t]{0,4}["']?([A-Za-z0-9+/_\-]{16,}={0,2})""")
 SAYS = re.compile(r"""(?:key|token|secret|passw(?:or)?d|pwd|credential)s?["']?[ \t]{0,4}$""", re.IGNORECASE)
 NUMBER = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d)*(?![\w])")
+COUNTRY = re.compile(r"\+\d{1,3}(?=[ .(-])")
 CODE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )([A-ZÀ-ÖØ-Þ][\w'-]+)((?: [A-ZÀ-ÖØ-Þ][\w'-]+)?)")
 TITLED = tuple(f"{t}{end}" for t in TITLES for end in (" ", ". "))
@@ -96,7 +97,7 @@ def luhn(digits: str) -> bool:
 def _digits(key: bytes, kind: str, text: str) -> str:
     """Replaces the digits after a country code; punctuation has no share in the permutation, so that
     two ways to write a number stay the same number. Numbers with a right check digit keep one."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    head = COUNTRY.match(text)
     at = head.end() if head else 0
     found = "".join(c for c in text[at:] if c.isdigit())
     new, right = found, luhn(found)
@@ -110,6 +111,10 @@ def _digits(key: bytes, kind: str, text: str) -> str:
     return text[:at] + "".join(next(fresh) if c.isdigit() else c for c in text[at:])
 
 
+def _folded(text: str) -> str:
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _cased(old: str, new: str) -> str:
     return "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b for a, b in zip(old, new))
 
@@ -120,9 +125,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     if kind == "email":
         name, _, domain = text.partition("@")
         inner, dot, top = domain.rpartition(".")
-        low = f"{name}@{inner}".lower()
-        new = reshape(key, kind, low if len(low) == len(name) + 1 + len(inner) else f"{name}@{inner}")
-        return _cased(f"{name}@{inner}", new) + dot + top
+        return _cased(f"{name}@{inner}", reshape(key, kind, _folded(f"{name}@{inner}"))) + dot + top
     if kind == "secret":
         for alphabet in _HEX:
             if set(text) <= set(alphabet):
@@ -142,7 +145,35 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return _digits(key, kind, text)
     if kind == "iban":
         return text[:2] + reshape(key, kind, text[2:])
-    return reshape(key, kind, text)
+    new = reshape(key, kind, _folded(text))
+    while kind in NAMES and new.capitalize() in NAMES[kind]:  # those stand for names of the list
+        new = reshape(key, kind, new)
+    return _cased(text, new)
+
+
+class Key(bytes):
+    """A key with versions, by kind and canonical spelling, of the entities that have one of their own."""
+
+    versions: dict[tuple[str, str], int] = {}
+
+
+def canonical(kind: str, text: str) -> str:
+    """What the spellings of one entity have in common: digits of a number; small letters, but for secrets."""
+    if kind in ("phone", "account", "id"):
+        return "".join(c for c in text if c.isdigit())
+    return text if kind == "secret" else _folded(text)
+
+
+def replaceable(kind: str, text: str) -> bool:
+    """Whether a key can change it: not a form's blank, not digits of other scripts only."""
+    if kind == "phone" and (head := COUNTRY.match(text)):
+        text = text[head.end() :]
+    return any(c in _PLACE for c in (text[2:] if kind == "iban" else text.rpartition(".")[0] if kind == "email" else text))
+
+
+def substitute(key: bytes, kind: str, text: str) -> str:
+    version = key.versions.get((kind, canonical(kind, text))) if isinstance(key, Key) and key.versions else None
+    return surrogate(bytes(key) if version is None else bytes(key) + b"#%d" % version, kind, text)
 
 
 #: Numbers that stand side by side look like one to NUMBER; these are the forms that are told apart then.
@@ -200,7 +231,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 found.append((m.start(3), m.end(3), gender if m.group(3) in NAMES[gender] else "family"))
     kept: list[tuple[int, int, str]] = []
     for x in found:
-        if all(x[1] <= a or x[0] >= b for a, b, _ in kept):
+        if all(x[1] <= a or x[0] >= b for a, b, _ in kept) and replaceable(x[2], text[x[0] : x[1]]):
             kept.append(x)
     return sorted(kept)
 
@@ -215,7 +246,7 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
         return text, []
     parts, at, said = [], 0, []
     for a, b, kind in spans:
-        new = surrogate(key, kind, text[a:b])
+        new = substitute(key, kind, text[a:b])
         parts += [text[at:a], new]
         said.append((kind, text[a:b], new))
         at = b
@@ -233,22 +264,43 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string")
 
 
+def spelled(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """docs (text, ...) -> (kind, original, surrogate), both in their canonical spelling, distinct."""
+
+    def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found):
+            said = {(k, canonical(k, old), canonical(k, new)) for t in batch.column("text").to_pylist() for k, old, new in replace(t, key)[1]}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in said], pa.string()) for i in range(3)], ["kind", "original", "surrogate"])
+
+    return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string").distinct()
+
+
+def _clashes(found: DataFrame) -> DataFrame:
+    same = F.max(F.col("original") == F.col("surrogate")).alias("same")
+    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("originals"), F.min("original").alias("least"), same).filter("originals > 1 or same")
+
+
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, surrogate, originals): surrogates that stand for more than one original, or for none
     but itself. Spellings of one number or address with other cases or punctuation count as one."""
-    same = F.when(F.col("kind").isin("phone", "account", "id"), F.regexp_replace("original", "[^0-9]", "")).otherwise(F.lower("original"))
-    fresh = F.when(F.col("kind").isin("phone", "account", "id"), F.regexp_replace("surrogate", "[^0-9]", "")).otherwise(F.lower("surrogate"))
-    found = entities(docs, key).select("kind", same.alias("original"), fresh.alias("surrogate")).distinct()
-    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("originals"), F.max(F.col("original") == F.col("surrogate")).alias("same")).filter("originals > 1 or same").drop("same")
-
-
-def resolve(docs: DataFrame, key: bytes = KEY, tries: int = 4) -> bytes:
-    """The first of the key's versions without a collision in docs."""
-    for version in range(tries):
-        versioned = key + b"/%d" % version
-        if collisions(docs, versioned).isEmpty():
-            return versioned
-    raise ValueError(f"each of {tries} versions of the key has collisions")
+    return _clashes(spelled(docs, key)).select("kind", "surrogate", "originals")
+
+
+def resolve(docs: DataFrame, key: bytes = KEY, tries: int = 32) -> bytes:
+    """The key without a collision in docs: of the originals that share a surrogate all but one, and
+    those that are their own, get a version of it, until none is left. These few come to the driver."""
+    found = Key(key + b"/0")
+    for _ in range(tries):
+        if collisions(docs, found).isEmpty():
+            return found
+        said = spelled(docs, found)
+        concerned = said.join(_clashes(said).select("kind", "surrogate", "least"), ["kind", "surrogate"]).filter("original <> least or original = surrogate")
+        versions = dict(found.versions)
+        for row in concerned.select("kind", "original").collect():
+            versions[row["kind"], row["original"]] = versions.get((row["kind"], row["original"]), 0) + 1
+        found = Key(key + b"/0")
+        found.versions = versions
+    raise ValueError(f"collisions are left after {tries} versions of the key for the entities concerned")
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
