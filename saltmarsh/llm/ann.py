@@ -257,7 +257,7 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
                 if not len(entry_ids):
                     continue
                 score = _decoded(part.column("query").to_pylist())[1] @ table
-                n = min(max(STARTS, width if len(sampled) < ENTRIES else 0), len(entry_ids))
+                n = min(STARTS, len(entry_ids))
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(part.column("q").to_numpy(), n)), pa.array(entry_ids[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float32))], ["q", "near", "score"]

@@ -280,6 +280,13 @@ def test_one_long_vector_leaves_the_others_apart(spark):
     assert recall_of(spark, x) > 0.97
 
 
+def test_queries_of_small_tables_start_from_few(spark):
+    rows = [(i, [float(np.cos(i / 400)), float(np.sin(i / 400))], [i]) for i in range(400)]
+    codes = ann.coded(spark.createDataFrame(rows, "node long, v array<double>, ids array<long>")).localCheckpoint()
+    queries = codes.filter("node = 200").select(F.lit(999).cast("long").alias("q"), F.col("code").alias("query"), F.lit(None).cast("long").alias("own"))
+    assert ann.search(queries, codes, spark.createDataFrame([], "node long, near long, score float")).count() == ann.STARTS
+
+
 def test_a_search_goes_on_until_nothing_is_left_to_expand(spark, monkeypatch):
     monkeypatch.setattr(ann, "ENTRIES", 1)
     n = 24  # an arc of nodes of which each knows the next one only
