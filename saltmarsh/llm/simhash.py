@@ -173,6 +173,14 @@ def links(values: DataFrame, radius: int = 4, tree: int = TREE) -> DataFrame:
     )
 
 
+def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (doc_id, fp) of all rows, and of the distinct ones (fp, first, root of the component)."""
+    prints = checkpoint(fingerprints(docs))
+    values = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(values.select("fp"), radius))
+    return prints, values.join(roots, values.fp == roots.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fp long, component_id long), a row for each row.
 
@@ -180,21 +188,26 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     and empty texts have the fingerprint zero, which links like any other; a row with a null
     doc_id keeps it and takes part with its text only.
     """
-    prints = checkpoint(fingerprints(docs))
-    values = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(values.select("fp"), radius))
-    rooted = values.join(roots, values.fp == roots.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints, rooted = _rooted(docs, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """One row of docs for each component: that with the smallest doc_id, once if it is repeated.
-    Rows with a null doc_id can't be told apart and stay. Columns are those of docs."""
-    first = near_duplicates(docs.select("doc_id", "text"), radius).filter("component_id = doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of docs for each component: that with the smallest doc_id (a null one comes last) and
+    fingerprint, once if it is repeated. Columns are those of docs."""
+
+    @F.pandas_udf("long")
+    def printed(texts):
+        return texts.map(lambda t: _signed(fingerprint(t if isinstance(t, str) else None))).astype("int64")
+
+    _, rooted = _rooted(docs.select("doc_id", "text"), radius)
+    place = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
+    first = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.first").alias("__first"), F.col("p.fp").alias("__fp"))
+    named = docs.withColumn("__print", printed("text"))
+    kept = named.join(first, named["doc_id"].eqNullSafe(first["__first"]) & (named["__print"] == first["__fp"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__print"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -108,6 +108,13 @@ def test_near_duplicates_and_representatives(spark):
     assert simhash.digest(odd(spark)).count() == len(ODD) and simhash.digest(odd(spark).limit(0)).isEmpty()
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    texts = ["one text of some words that stands alone", "quite another text about other things at all", "a third one which nobody has seen before"]
+    rows = [(5, texts[0]), (5, texts[1]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[0])]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, texts[2]), (2, texts[0]), (5, texts[1])]
+
+
 # --- classifiers
 
 
