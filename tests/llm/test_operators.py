@@ -380,7 +380,7 @@ def test_bpe_equals_the_library(codec, reference, text):
 
 
 def test_bpe_long_pieces(codec, reference):
-    texts = ["a" * 5000, "ab" * 3000, "漢字" * 900, "-" * 1200, " " * 3000 + "x", "", None, "=\n" * 700, "q" * 399 + " " + "q" * 401]
+    texts = ["a" * 5000, "ab" * 3000, "漢字" * 900, "-" * 1200, " " * 3000 + "x", "", None, "=\n" * 700, "q" * 399 + " " + "q" * 401, "a" * 70000]
     found = codec.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [reference.encode_ordinary(t or "") for t in texts]
     assert codec.decode(found) == [(t or "").encode() for t in texts]
@@ -388,10 +388,42 @@ def test_bpe_long_pieces(codec, reference):
         codec.decode([np.array([2**31 - 1], "<u4").tobytes()])
 
 
-def test_heap_equals_recursion(codec):
+def ids_of(data):
+    return np.frombuffer(data, "<u4").tolist()
+
+
+def plain_merges(piece, rank):
+    parts = [bytes([b]) for b in piece]
+    while True:
+        near = [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+        if not near:
+            return [rank[p] for p in parts]
+        i = min(near)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_recursion_and_steps_equal_plain_merges(codec):
     rng = random.Random(1)
     pieces = [bytes(rng.choice(b"abcdeilnorst") for _ in range(rng.randrange(1, 60))) for _ in range(200)]
-    assert [bpe.merged(p, codec.rank) for p in pieces] == [codec._merge([p])[0] for p in pieces]
+    assert [ids_of(x) for x in codec._merge(pieces)] == [plain_merges(p, codec.rank) for p in pieces]
+    more = pieces[:25] + [b"a" * n for n in (2, 3, 7, 64, 333)] + [b"ab" * 40, b"aab" * 30, b"banana" * 20]
+    want = [plain_merges(p, codec.rank) for p in more]
+    assert [ids_of(codec._steps(p)) for p in more] == want == [bpe.merged(p, codec.rank) for p in more]
+
+
+def test_pairs_that_come_before_the_token_they_are_made_of():
+    tokens = [bytes([i]) for i in range(256)] + [b"aba", b"ab", b"abab", b"ba", b"aa", b"bb", b"abb"]
+    small = bpe.Codec(tokens, r"\S+", {})
+    rng = random.Random(6)
+    for piece in [b"ab" * 9, b"aab" * 7] + [bytes(rng.choice(b"ab") for _ in range(rng.randrange(2, 40))) for _ in range(25)]:
+        assert ids_of(small._steps(piece)) == plain_merges(piece, small.rank) == ids_of(small._merge([piece])[0]) == bpe.merged(piece, small.rank)
+
+
+def test_all_code_points_split_as_in_the_library(codec, reference):
+    points = [*range(0x20, 0xD800, 7), *range(0xE000, 0x30000, 31), *sorted(bpe.differing())]
+    for at in range(0, len(points), 4000):
+        text = "".join(f"a{c}b {c}{c}1{c}'s\n{c} ." for c in map(chr, points[at : at + 4000]))
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
 
 
 def test_bpe_query(spark, reference):
