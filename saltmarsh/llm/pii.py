@@ -1,183 +1,80 @@
-"""Personal data replaced by surrogates of the same type and format.
-
-A surrogate comes from a keyed permutation of all strings of the original's format: each
-character is a digit of its own radix (decimal digits, hexadecimal digits, letters of a script
-and case), the string is a number below the product of the radices, and a Feistel network over
-that range, conjugated with a shift, maps it to another one. So equal originals get equal
-surrogates anywhere in the corpus, different ones different surrogates, and none itself, with
-nothing to look up or to gather. Given names are permuted within a list of their gender.
-`collisions` checks the distinctness over a whole corpus; `resolve` gives entities that still
-collide a version of the key of their own.
+"""Personal data in texts: detection, surrogates of the same type and format, collision checks.
+
+Each entity is replaced by a function of the key and of the entity alone (`surrogates`), so all
+its mentions in a corpus get one replacement, however they are spelled. `resolve` checks over
+the whole corpus that no two entities share one and that none is its own; the few that do get a
+version of the key of their own. The key is an argument everywhere: who has it can tell which
+surrogate stands for what, so it is a secret of the run (`session_key`).
+
+Nulls stay null, empty texts empty; rows that repeat an id are treated row by row.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
+import secrets
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import batches
+from saltmarsh.llm.common import batches, checkpoint
+from saltmarsh.llm.surrogates import GENDER, canonical, labelled, replaceable, surrogate
 
-KEY = b"saltmarsh surrogates"  # a default for tests; production passes its secret
-
-#: Given names by gender, titles by the gender they show.
-NAMES = {
-    "f": ["Alice", "Anna", "Carla", "Clara", "Elena", "Emma", "Eva", "Ida", "Ines", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marta", "Nina", "Olga", "Paula", "Sara", "Sofia"],
-    "m": ["Adam", "Anton", "Bruno", "Carlos", "David", "Emil", "Felix", "Hugo", "Ivan", "Jan", "Karl", "Leon", "Luis", "Marco", "Martin", "Oscar", "Paul", "Pedro", "Simon", "Victor"],
+#: The setting that has a run's key.
+SETTING = "spark.saltmarsh.pii.key"
+#: Titles by the gender that they show, n if none.
+TITLES = {
+    "Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Professor": "n", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
+    "Mademoiselle": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Srta": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
+    "г-н": "m", "г-жа": "f", "Г-н": "m", "Г-жа": "f", "κύριος": "m", "κυρία": "f", "Κύριος": "m", "Κυρία": "f",
 }
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f"}
-
-ALPHABETS = ["0123456789", *(f(x) for x in ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäéèêëíìîïóòôöúùûü", "ñçšžłřčď", "ãåæõøýþð", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя") for f in (str, str.upper))]
-_HEX = ["0123456789abcdef", "0123456789ABCDEF"]
-_PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
 EMAIL = re.compile(r"[A-Za-z0-9À-ɏ](?:[\wÀ-ɏ.%+-]*[\wÀ-ɏ])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 SECRET = re.compile(r"""[=:][ \t]{0,4}["']?([A-Za-z0-9+/_\-]{16,}={0,2})""")
 SAYS = re.compile(r"""(?:key|token|secret|passw(?:or)?d|pwd|credential)s?["']?[ \t]{0,4}$""", re.IGNORECASE)
 NUMBER = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d)*(?![\w])")
-COUNTRY = re.compile(r"\+\d{1,3}(?=[ .(-])")
+#: Numbers that stand side by side look like one to NUMBER; these are the forms that are told apart then.
+APART = re.compile(r"(?<![\d.])(?:\+\d{1,3} ?\(\d{1,5}\) ?\d{3}[ -]\d{4}|\(\d{1,5}\) ?\d{3}[ -]\d{4}|\d{4}(?:[ -]\d{4}){3}|\d{13,19}|\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
 CODE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )([A-ZÀ-ÖØ-Þ][\w'-]+)((?: [A-ZÀ-ÖØ-Þ][\w'-]+)?)")
+DIGIT = re.compile(r"\d[\d ().-]{5}")
+_CAP, _LOW = "A-ZÀ-ÖØ-ÞĀ-ſА-ЯЁІЇЄҐΆ-Ϋ", "a-zß-öø-ÿĀ-ſа-яёіїєґў-џά-ώA-ZÀ-ÖØ-ÞА-ЯЁΆ-Ϋ"
+_WORD = f"[{_CAP}][{_LOW}]*(?:[-'’][{_CAP}{_LOW}][{_LOW}]*)*"
+_LINK = r"(?:(?:van|von|de|der|den|del|da|di|du|la|le|y) )*"
+PERSON = re.compile(rf"(?<![\w-])({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.? )({_WORD})((?: {_LINK}{_WORD}){{0,2}})(?![\w])")
 TITLED = tuple(f"{t}{end}" for t in TITLES for end in (" ", ". "))
+NAMED = re.compile(rf"(?<![\w-])([{_CAP}][{_LOW}]+) (?={_WORD})")
+FAMILY = re.compile(rf"(?: {_LINK}{_WORD}(?![\w])){{1,2}}")
+_LINKS = frozenset("van von de der den del da di du la le y".split())
 
 
-def _mix(key: bytes, n: int, tweak: str, x: int, back: bool) -> int:
-    """Balanced Feistel network over numbers of an even count of bits, repeated until the result is below n."""
-    half = max(1, ((n - 1).bit_length() + 1) // 2)
-    low = (1 << half) - 1
-    size = (half + 7) // 8
-    while True:
-        a, b = x >> half, x & low
-        for r in range(7, -1, -1) if back else range(8):
-            if back:
-                a, b = b ^ _round(key, tweak, r, a, size) & low, a
-            else:
-                a, b = b, a ^ _round(key, tweak, r, b, size) & low
-        x = a << half | b
-        if x < n:
-            return x
-
-
-def _round(key: bytes, tweak: str, r: int, x: int, size: int) -> int:
-    data = tweak.encode() + bytes([0, r]) + x.to_bytes(size, "big")
-    return int.from_bytes(hashlib.shake_256(key + data).digest(size), "big") if size > 32 else int.from_bytes(hmac.digest(key, data, "sha256")[:size], "big")
-
-
-def permute(key: bytes, n: int, tweak: str, x: int) -> int:
-    """A keyed permutation of 0..n-1 without a fixed point (n at least 2)."""
-    if n < 2:
-        return x
-    return _mix(key, n, tweak, (_mix(key, n, tweak, x, True) + 1) % n, False)
-
-
-def reshape(key: bytes, tweak: str, text: str, alphabets: dict[str, tuple[str, int]] = _PLACE) -> str:
-    """A string of the same format: each character of a known alphabet is replaced from it, others stay."""
-    places = [(i, *alphabets[c]) for i, c in enumerate(text) if c in alphabets]
-    x, n = 0, 1
-    for _, alphabet, digit in places:
-        x, n = x * len(alphabet) + digit, n * len(alphabet)
-    shape = tweak + "|" + "".join(alphabets[c][0][0] if c in alphabets else c for c in text)
-    x, out = permute(key, n, shape, x), list(text)
-    for i, alphabet, _ in reversed(places):
-        x, digit = divmod(x, len(alphabet))
-        out[i] = alphabet[digit]
-    return "".join(out)
-
-
-def luhn(digits: str) -> bool:
-    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
-
-
-def _digits(key: bytes, kind: str, text: str) -> str:
-    """Replaces the digits after a country code; punctuation has no share in the permutation, so that
-    two ways to write a number stay the same number. Numbers with a right check digit keep one."""
-    head = COUNTRY.match(text)
-    at = head.end() if head else 0
-    found = "".join(c for c in text[at:] if c.isdigit())
-    new, right = found, luhn(found)
-    while True:
-        new = reshape(key, f"{kind}{len(found)}", new)
-        if kind != "account" or luhn(new) == right:
-            break
-    if new == found:  # came round to itself: the next one of the same kind, a cycle of one in its class
-        return text
-    fresh = iter(new)
-    return text[:at] + "".join(next(fresh) if c.isdigit() else c for c in text[at:])
-
-
-def _folded(text: str) -> str:
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def _cased(old: str, new: str) -> str:
-    return "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b for a, b in zip(old, new))
-
-
-@lru_cache(1 << 16)
-def surrogate(key: bytes, kind: str, text: str) -> str:
-    """The replacement of an entity; kind is one of email, secret, ip, account, phone, id, iban, f, m (given name by gender), family."""
-    if kind == "email":
-        name, _, domain = text.partition("@")
-        inner, dot, top = domain.rpartition(".")
-        return _cased(f"{name}@{inner}", reshape(key, kind, _folded(f"{name}@{inner}"))) + dot + top
-    if kind == "secret":
-        for alphabet in _HEX:
-            if set(text) <= set(alphabet):
-                return reshape(key, kind, text, {c: (alphabet, i) for i, c in enumerate(alphabet)})
-        return reshape(key, kind, text)
-    if kind == "ip":
-        x = 0
-        for part in text.split("."):
-            x = x << 8 | int(part)
-        x = permute(key, 1 << 32, kind, x)
-        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
-    if kind in NAMES and text.capitalize() in NAMES[kind]:
-        pool = NAMES[kind]
-        new = pool[permute(key, len(pool), kind, pool.index(text.capitalize()))]
-        return new.upper() if text.isupper() else new
-    if kind in ("account", "phone", "id"):
-        return _digits(key, kind, text)
-    if kind == "iban":
-        return text[:2] + reshape(key, kind, text[2:])
-    new = reshape(key, kind, _folded(text))
-    while kind in NAMES and new.capitalize() in NAMES[kind]:  # those stand for names of the list
-        new = reshape(key, kind, new)
-    return _cased(text, new)
-
-
-class Key(bytes):
-    """A key with versions, by kind and canonical spelling, of the entities that have one of their own."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key of a run: what SETTING has, or else a random one that lasts as long as the application."""
+    given = spark.conf.get(SETTING, None)
+    if given:
+        return given.encode()
+    return _random.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
-    versions: dict[tuple[str, str], int] = {}
 
+_random: dict[str, bytes] = {}
 
-def canonical(kind: str, text: str) -> str:
-    """What the spellings of one entity have in common: digits of a number; small letters, but for secrets."""
-    if kind in ("phone", "account", "id"):
-        return "".join(c for c in text if c.isdigit())
-    return text if kind == "secret" else _folded(text)
 
+class Key(bytes):
+    """A key with versions, by kind and canonical spelling, of the entities that have one of their own; a
+    version of -1 stands for a label."""
 
-def replaceable(kind: str, text: str) -> bool:
-    """Whether a key can change it: not a form's blank, not digits of other scripts only."""
-    if kind == "phone" and (head := COUNTRY.match(text)):
-        text = text[head.end() :]
-    return any(c in _PLACE for c in (text[2:] if kind == "iban" else text.rpartition(".")[0] if kind == "email" else text))
+    versions: dict[tuple[str, str], int] = {}
 
 
 def substitute(key: bytes, kind: str, text: str) -> str:
     version = key.versions.get((kind, canonical(kind, text))) if isinstance(key, Key) and key.versions else None
+    if version == -1:
+        return labelled(bytes(key), kind, text)
     return surrogate(bytes(key) if version is None else bytes(key) + b"#%d" % version, kind, text)
 
 
-#: Numbers that stand side by side look like one to NUMBER; these are the forms that are told apart then.
-APART = re.compile(r"(?<![\d.])(?:\+\d{1,3} ?\(\d{1,5}\) ?\d{3}[ -]\d{4}|\(\d{1,5}\) ?\d{3}[ -]\d{4}|\d{4}(?:[ -]\d{4}){3}|\d{13,19}|\d{1,3}(?:\.\d{1,3}){3}|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
+# --- detection
 
 
 def _kind(said: str) -> str | None:
@@ -199,13 +96,61 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
         kind = _kind(m.group())
         if kind:
             yield m.start(), m.end(), kind
-        elif m.end() - m.start() > 12:
+        elif m.end() - m.start() > 8:  # none of the forms is shorter
             for part in APART.finditer(m.group()):
                 kind = _kind(part.group())
                 if kind:
                     yield m.start() + part.start(), m.start() + part.end(), kind
 
 
+def _words(start: int, said: str) -> Iterator[tuple[int, int]]:
+    """Where the words of a name are, without particles."""
+    at = start
+    for word in said.split(" "):
+        if word and word not in _LINKS:
+            yield at, at + len(word)
+        at += len(word) + 1
+
+
+def _titled(text: str) -> Iterator[tuple[int, int, str]]:
+    """Names behind a title: the last word of several is the family name, those before it are given names of the
+    title's gender (or of that which the name itself shows); a single word is a given name if it is one of the pool."""
+    for m in PERSON.finditer(text):
+        shown = TITLES[m.group(1)]
+        words = [(m.start(3), m.end(3)), *_words(m.start(4), m.group(4))]
+        known = GENDER.get(text[m.start(3) : m.end(3)].lower())
+        gender = shown if shown != "n" else known or "n"
+        if len(words) == 1:
+            yield (*words[0], gender if known and known == gender else "family")
+            continue
+        for a, b in words[:-1]:
+            yield a, b, gender
+        yield (*words[-1], "family")
+
+
+def _pooled(text: str) -> Iterator[tuple[int, int, str]]:
+    """Given names of the pools that a name follows."""
+    for m in NAMED.finditer(text):
+        gender = GENDER.get(m.group(1).lower())
+        if gender and (family := FAMILY.match(text, m.end(1))):
+            words = list(_words(family.start(), family.group()))
+            yield m.start(1), m.end(1), gender
+            for a, b in words[:-1]:
+                yield a, b, gender
+            yield (*words[-1], "family")
+
+
+def _again(text: str, found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Later and earlier mentions of the names that were found in a text, as they were written there."""
+    roles: dict[str, str] = {}
+    for a, b, role in sorted(found):
+        if b - a > 1:
+            roles.setdefault(text[a:b], role)
+    if roles:
+        for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(roles, key=len, reverse=True)))})(?![\w-])", text):
+            yield m.start(), m.end(), roles[m.group()]
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities in a text, in order, without overlaps; where two overlap the
     one found by the earlier rule stays: e-mail, secret, bank code, number, person."""
@@ -215,31 +160,32 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret") for m in SECRET.finditer(text) if SAYS.search(text, max(0, m.start() - 24), m.start())]
+        secret = [m.span(1) for m in SECRET.finditer(text) if SAYS.search(text, max(0, m.start() - 24), m.start())]
+        found += [(a, b, _kind(text[a:b]) or "secret") for a, b in secret]  # a number is one entity whatever stands before it
     if DIGIT.search(text):
         found += [(m.start(), m.end(), "iban") for m in CODE.finditer(text)]
         rest = text
-        for start, end, _ in found:  # else a number that stands beside one of these runs into it
-            rest = rest[:start] + "\0" * (end - start) + rest[end:]
+        if found:  # else a number that stands beside one of these runs into it
+            hidden = list(text)
+            for start, end, _ in found:
+                hidden[start:end] = "\0" * (end - start)
+            rest = "".join(hidden)
         found += _numbers(rest)
-    if any(t in text for t in TITLED):
-        for m in PERSON.finditer(text):
-            gender = TITLES[m.group(1)]
-            if m.group(4):
-                found += [(m.start(3), m.end(3), gender), (m.start(4) + 1, m.end(4), "family")]
-            else:
-                found.append((m.start(3), m.end(3), gender if m.group(3) in NAMES[gender] else "family"))
+    names = list(_titled(text)) if any(t in text for t in TITLED) else []
+    names += _pooled(text)
+    if names:
+        found += names
+        found += _again(text, names)
     kept: list[tuple[int, int, str]] = []
-    for x in found:
-        if all(x[1] <= a or x[0] >= b for a, b, _ in kept) and replaceable(x[2], text[x[0] : x[1]]):
-            kept.append(x)
+    taken: set[int] = set()
+    for a, b, kind in found:
+        if not (a in taken or b - 1 in taken or any(i in taken for i in range(a, b))) and replaceable(kind, text[a:b]):
+            kept.append((a, b, kind))
+            taken.update(range(a, b))
     return sorted(kept)
 
 
-DIGIT = re.compile(r"\d[\d ().-]{5}")
-
-
-def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, str, str]]]:
+def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]]]:
     """The text with all entities replaced, and (kind, original, surrogate) of each; null stays null."""
     spans = detect(text)
     if not spans:
@@ -253,57 +199,78 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
     return "".join(parts) + text[at:], said
 
 
-def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+# --- over a corpus
+
+_STRINGS = lambda names, rows: pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in range(len(names))], names)
+
+
+def entities(docs: DataFrame, key: bytes) -> DataFrame:
     """docs (text, ...) -> (kind, original, surrogate), a row for each mention."""
 
     def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
-            said = [x for t in batch.column("text").to_pylist() for x in replace(t, key)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in said], pa.string()) for i in range(3)], ["kind", "original", "surrogate"])
+            yield _STRINGS(["kind", "original", "surrogate"], [x for t in batch.column("text").to_pylist() for x in replace(t, key)[1]])
 
     return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string")
 
 
-def spelled(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs (text, ...) -> (kind, original, surrogate), both in their canonical spelling, distinct."""
+def mentioned(docs: DataFrame) -> DataFrame:
+    """docs (text, ...) -> (kind, original), the entities in their canonical spelling, distinct."""
 
     def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
-            said = {(k, canonical(k, old), canonical(k, new)) for t in batch.column("text").to_pylist() for k, old, new in replace(t, key)[1]}
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in said], pa.string()) for i in range(3)], ["kind", "original", "surrogate"])
+            yield _STRINGS(["kind", "original"], sorted({(k, canonical(k, t[a:b])) for t in batch.column("text").to_pylist() for a, b, k in detect(t)}))
+
+    return docs.select("text").mapInArrow(run, "kind string, original string").distinct()
+
 
-    return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string").distinct()
+def replaced(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, original) -> (kind, original, surrogate), all in the canonical spelling."""
 
+    def run(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            rows = zip(batch.column("kind").to_pylist(), batch.column("original").to_pylist())
+            yield _STRINGS(["kind", "original", "surrogate"], [(k, old, canonical(k, substitute(key, k, old))) for k, old in rows])
 
-def _clashes(found: DataFrame) -> DataFrame:
-    same = F.max(F.col("original") == F.col("surrogate")).alias("same")
-    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("originals"), F.min("original").alias("least"), same).filter("originals > 1 or same")
+    return found.mapInArrow(run, "kind string, original string, surrogate string")
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, surrogate, originals): surrogates that stand for more than one original, or for none
-    but itself. Spellings of one number or address with other cases or punctuation count as one."""
-    return _clashes(spelled(docs, key)).select("kind", "surrogate", "originals")
+def clashes(said: DataFrame) -> DataFrame:
+    """(kind, original, surrogate) -> (surrogate, originals, least, same): surrogates that stand for more than one
+    original, of whatever kind, or for themselves; `least` is the one that may keep it."""
+    named = F.concat_ws("|", "kind", "original")
+    return said.groupBy("surrogate").agg(F.count("*").alias("originals"), F.min(named).alias("least"), F.max(F.col("original") == F.col("surrogate")).alias("same")).filter("originals > 1 or same")
 
 
-def resolve(docs: DataFrame, key: bytes = KEY, tries: int = 32) -> bytes:
-    """The key without a collision in docs: of the originals that share a surrogate all but one, and
-    those that are their own, get a version of it, until none is left. These few come to the driver."""
-    found = Key(key + b"/0")
-    for _ in range(tries):
-        if collisions(docs, found).isEmpty():
-            return found
-        said = spelled(docs, found)
-        concerned = said.join(_clashes(said).select("kind", "surrogate", "least"), ["kind", "surrogate"]).filter("original <> least or original = surrogate")
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
+    """(surrogate, originals): surrogates in docs that stand for more than one original, or for none but itself.
+    Spellings of one number or address with other cases or punctuation count as one."""
+    return clashes(replaced(mentioned(docs), key)).select("surrogate", "originals")
+
+
+def resolve(docs: DataFrame, key: bytes, tries: int = 16) -> bytes:
+    """The key without a collision in docs: of the originals that share a surrogate all but one, and those that
+    are their own, get a version of it, until none is left; what still collides after `tries` versions gets a
+    label. Docs are read once. Only the entities concerned come to the driver and travel with the key: within a
+    kind and format there are none, as these are permuted, so there are as many as different formats produce
+    by chance."""
+    known = checkpoint(mentioned(docs))
+    found = Key(key)
+    for turn in range(tries + 1):
+        said = replaced(known, found)
+        named = F.concat_ws("|", "kind", "original")
+        concerned = said.join(clashes(said).select("surrogate", "least"), "surrogate").filter((named != F.col("least")) | (F.col("original") == F.col("surrogate"))).select("kind", "original").collect()
+        if not concerned:
+            break
         versions = dict(found.versions)
-        for row in concerned.select("kind", "original").collect():
-            versions[row["kind"], row["original"]] = versions.get((row["kind"], row["original"]), 0) + 1
-        found = Key(key + b"/0")
+        for row in concerned:
+            versions[row["kind"], row["original"]] = versions.get((row["kind"], row["original"]), 0) + 1 if turn < tries else -1
+        found = Key(key)
         found.versions = versions
-    raise ValueError(f"collisions are left after {tries} versions of the key for the entities concerned")
+    return found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with every text replaced; other columns, n_chars too, stay as they are."""
 
     @F.pandas_udf("string")
@@ -313,7 +280,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select(*(run(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
-def digest(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def digest(docs: DataFrame, key: bytes) -> DataFrame:
     """The result of query op10: doc_id, text with surrogates, n_entities, kinds (sorted, distinct)."""
     key = resolve(docs, key)
 
