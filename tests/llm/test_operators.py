@@ -450,21 +450,94 @@ def test_packing_keeps_all_within_capacity(sizes):
     assert len({b for b, _ in held}) == len(held)
     for (_, capacity), inside in held.items():
         assert sum(inside) <= capacity and all(c < sum(inside) for c in (16, 32, 64) if c < capacity)
-    assert sum(c for _, c in held) <= 2 * sum(sizes) + 64
 
 
-def test_packing_rows(spark):
+def plain_pack(sizes, capacities):
+    """The same rule with lists that are gone through from one end to the other."""
+    opened, order = [], sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for turn, i in enumerate(order):
+        fits = [b for b in opened if b[0] - sum(sizes[j] for j in b[1]) >= sizes[i]]
+        if fits:
+            min(fits, key=lambda b: b[0] - sum(sizes[j] for j in b[1]))[1].append(i)
+            continue
+        best = None
+        for c in capacities:
+            if c < sizes[i]:
+                continue
+            inside = sizes[i]
+            for j in order[turn + 1 :]:
+                inside += sizes[j] * (inside + sizes[j] <= c)
+            final = min(d for d in capacities if d >= inside)
+            if best is None or (packing.cost(final) / inside, -inside) < best[:2]:
+                best = (packing.cost(final) / inside, -inside, final)
+        opened.append((best[2], [i]))
+    return {i: (n, min(c for c in capacities if c >= sum(sizes[j] for j in b[1]))) for n, b in enumerate(opened) for i in b[1]}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=40), st.sampled_from([(64, 100, 200), (200,), (50, 200)]))
+def test_packing_equals_brute_force(sizes, capacities):
+    want = plain_pack(sizes, capacities)
+    assert packing.pack(sizes, capacities) == [want[i] for i in range(len(sizes))]
+
+
+def total_cost(placed):
+    return sum(map(packing.cost, dict(placed).values()))
+
+
+def test_packing_opens_several_sizes_and_costs_less_than_one():
+    rng = random.Random(4)
+    sizes = [min(4096, int(rng.lognormvariate(6, 1.1)) + 1) for _ in range(3000)]
+    several, fixed = packing.pack(sizes), packing.pack(sizes, (4096,))
+    finals = [next(c for c in packing.CAPACITIES if c >= n) for n in (sum(s for s, (b, _) in zip(sizes, fixed) if b == k) for k in range(len(dict(fixed))))]
+    assert len({c for _, c in several}) >= 3
+    assert total_cost(several) < 0.93 * sum(map(packing.cost, finals))  # fixed ones are downsized too
+    assert sum(dict(several).values()) < 1.03 * sum(sizes)
+
+
+def test_packing_is_near_the_best_of_all(capacities=(512, 1024, 2048)):
+    rng = random.Random(9)
+
+    def best(sizes, bins):
+        if not sizes:
+            return sum(packing.cost(next(c for c in capacities if c >= b)) for b in bins)
+        tried = {tuple(sorted(bins[:k] + (b + sizes[0],) + bins[k + 1 :])) for k, b in enumerate(bins) if b + sizes[0] <= capacities[-1]} | {(*bins, sizes[0])}
+        return min(best(sizes[1:], b) for b in tried)
+
+    ratio = []
+    for _ in range(40):
+        sizes = sorted((rng.randrange(1, 1500) for _ in range(6)), reverse=True)
+        ratio.append(total_cost(packing.pack(sizes, capacities)) / best(sizes, ()))
+    assert min(ratio) >= 1 - 1e-9 and sum(ratio) / len(ratio) < 1.08
+
+
+def test_packing_rows(spark, reference):
     with pytest.raises(ValueError, match="larger"):
         packing.pack([65], (64,))
-    docs = odd(spark)
-    rows = packing.packed(docs, (64, 256), shard=5000).collect()
-    want = sorted((d or 0, len((t or "").split()) + 1) for d, t, *_ in ODD)
-    total = {}
+    docs = odd(spark).withColumn("ids", F.lit(1)).withColumn("start", F.lit(1))
+    rows = packing.packed(docs, VOCABULARY, public.PATTERN, (64, 256), shard=5000).collect()
+    assert len({r.bin for r in rows}) == len(rows)
+    texts = {}
     for r in rows:
-        assert 0 < r.n_tokens <= 256 and r.start == 256 * r.piece
-        total.setdefault(r.bin, [0, r.capacity])[0] += r.n_tokens
-    assert all(n <= c for n, c in total.values()) and sum(r.n_tokens for r in rows) == sum(n for _, n in want)
-    assert packing.packed(docs.limit(0)).isEmpty()
+        assert len(r.ids) == r.n_tokens == sum(p.n_tokens for p in r.parts) <= r.capacity in (64, 256)
+        at = 0
+        for p in r.parts:
+            assert p.n_tokens <= 256 and p.start % 256 == 0
+            texts.setdefault(p.doc_id, {}).setdefault(p.start, []).append(r.ids[at : at + p.n_tokens])
+            at += p.n_tokens
+    end = reference.n_vocab
+    for doc_id, text, *_ in ODD:
+        parts = texts[doc_id]
+        assert [t for s in sorted(parts) for t in parts[s][0]] == [*reference.encode_ordinary(text or ""), end]
+        assert {len(p) for p in parts.values()} == {sum(d == doc_id for d, *_ in ODD)}
+    assert packing.packed(docs.limit(0), VOCABULARY, public.PATTERN).isEmpty()
+
+
+def test_packing_of_one_repeated_row_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST", 1000)
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text that all rows repeat").alias("text"))
+    got = packing.packed(docs, VOCABULARY, public.PATTERN, (64,)).groupBy(F.split("bin", "-")[0]).agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(got) >= 8 and max(r.n for r in got) < 1.2 * min(r.n for r in got) and sum(r.n for r in got) == 4000 * 7
 
 
 # --- personal data
@@ -680,7 +753,7 @@ def test_pipeline(spark):
     key = pii.resolve(docs.filter(F.col("doc_id").isin(ids)), pii.session_key(spark))
     assert {r.doc_id: r.text for r in rows.collect()} == {i: pii.replace(kept[i], key)[0] for i in ids}
     packed = corpus_pipeline.run(spark, DATA).collect()
-    assert {r.doc_id for r in packed} == set(ids)
+    assert {p.doc_id for r in packed for p in r.parts} == set(ids)
 
 
 def test_library_needs_no_llm():
