@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new
-    temporary one where that is unset (single-machine tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a new temporary one
+    will do if all runs on one machine; a cluster has to name one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="saltmarsh-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -23,11 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark removes the files once nothing refers to them."""
+    """Cut the lineage with a reliable checkpoint. Its files stay until `release`, unless Spark is told to remove
+    them itself (spark.cleaner.referenceTracking.cleanCheckpoints)."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def release(*frames: DataFrame) -> None:
+    """Removes the files of checkpoints that nothing will read any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        at = plan.rdd().getCheckpointFile() if plan.nodeName().startswith("LogicalRDD") else None
+        if at is not None and at.isDefined():
+            remove(df.sparkSession, at.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark can write to; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

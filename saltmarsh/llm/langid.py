@@ -1,6 +1,13 @@
 """Language identification by nearest centroid: normalised TF-IDF vectors of hashed byte
 n-grams are compared by cosine with several clustered centroids for each language; a text too
-far from its nearest centroid is rejected."""
+far from its nearest centroid is rejected. How far is too far is learned for each centroid and
+size of text: short texts share few n-grams with any centroid.
+
+Document frequencies are counted over all documents that may be learned from, the centroids are
+fitted on a bounded sample (at most PER_CLASS documents of a language, of at most MAX_CHARS
+characters). Null texts and texts without a letter are `und` and rejected, as all are where
+nothing could be learned. Of rows that repeat an id each gets its own prediction.
+"""
 
 from __future__ import annotations
 
@@ -20,9 +27,12 @@ LETTER = regex.compile(r"\p{L}")
 BUCKETS, CENTROIDS = 1 << 13, 4
 #: Bounds of the training sample: documents of each language, characters of a document.
 PER_CLASS, MAX_CHARS = 600, 50_000
-#: How much farther from a centroid than its farthest training text a text may be; distances that are always
-#: accepted (short texts share few n-grams with any centroid) and never (texts of other scripts share next to none).
-SLACK, NEAR, FAR = 0.05, 0.9, 0.97
+#: How much farther from a centroid than its farthest training text of that size a text may be, and the distance
+#: that is never accepted (texts of other scripts share next to nothing).
+SLACK, FAR = 0.05, 0.97
+#: Characters of the pieces of training texts from which the reach of short texts is learned; texts of a size that a
+#: centroid needs for a reach of its own, else it has that of its language; sizes, as powers of two of n-grams.
+PIECES, ENOUGH, SIZES = (12, 24, 48, 96, 192, 384, 768), 30, 28
 UNKNOWN = "und"
 _ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -51,7 +61,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # rows of unit length
     names: list[str]  # language of each centroid
-    reach: np.ndarray  # greatest distance that each centroid accepts
+    reach: np.ndarray  # greatest distance that each centroid accepts, by size of the text
 
     def vectors(self, found: np.ndarray) -> np.ndarray:
         x = np.log1p(found).astype(np.float32) * self.idf
@@ -61,11 +71,12 @@ class Model:
         """Language, score and rejection for each text: without a letter `und`, 0 and rejected."""
         if not texts or not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        cosine = self.vectors(np.stack([counts(t) for t in texts])) @ self.centroids.T
+        found = np.stack([counts(t) for t in texts])
+        cosine = self.vectors(found) @ self.centroids.T
         best = cosine.argmax(1)
         near = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         known = [has_letter(t) for t in texts]
-        far = 1 - near > self.reach[best]
+        far = 1 - near > self.reach[best, sizes(found)]
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(near, known)], [bool(f) or not k for f, k in zip(far, known)]
 
 
@@ -81,33 +92,102 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> tuple[np.
     return at, (x @ at.T).argmax(1)
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
-    """Texts without a letter teach nothing; with none left every prediction is `und`."""
+def sizes(found: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(found.sum(1) + 1), SIZES - 1).astype(np.int64)
+
+
+def pieces(texts: list[str], seed: int = 2) -> list[tuple[int, str]]:
+    """Whole texts and a piece of each size in PIECES from a random place, with the number of the text."""
+    rng = np.random.default_rng(seed)
+    out = [(i, t) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        for n in PIECES:
+            at = int(rng.integers(max(len(t) - n, 0) + 1))
+            if len(t) > n and has_letter(t[at : at + n]):
+                out.append((i, t[at : at + n]))
+    return out
+
+
+def reach_of(far: np.ndarray, size: np.ndarray, whose: np.ndarray, n: int) -> np.ndarray:
+    """Greatest distances (n centroids, SIZES) of what lies nearest to each centroid of a language, and SLACK. A size
+    without texts has the reach of the next larger one that has some, or of the next smaller one; none reach less
+    far than larger ones."""
+    out = np.full((n, SIZES), np.nan)
+    for b in range(SIZES):
+        here = size == b
+        if here.any():
+            out[:, b] = far[here].max()
+        for c in range(n):
+            own = here & (whose == c)
+            if own.sum() >= ENOUGH:
+                out[c, b] = far[own].max()
+    for c in range(n):
+        known = np.flatnonzero(~np.isnan(out[c]))
+        if not len(known):
+            out[c] = FAR
+            continue
+        at = np.minimum(np.searchsorted(known, np.arange(SIZES)), len(known) - 1)
+        out[c] = np.maximum.accumulate(out[c][known[at]][::-1])[::-1]
+    return np.minimum(out + SLACK, FAR)
+
+
+def train(texts: list[str], langs: list[str], frequency: tuple[np.ndarray, int] | None = None) -> Model:
+    """`frequency` has the documents that hold each bucket, and of how many; without it those of the texts count.
+    Texts without a letter teach nothing; with none left every prediction is `und`."""
     kept = [(t, lang) for t, lang in zip(texts, langs) if has_letter(t)]
     if not kept:
-        return Model(np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+        return Model(np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, SIZES)))
     found = np.stack([counts(t).astype(np.float32) for t, _ in kept])
-    idf = np.log((1 + len(found)) / (1 + (found > 0).sum(0))).astype(np.float32) + 0.1
-    model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+    held, of = frequency or ((found > 0).sum(0), len(found))
+    model = Model(np.log((1 + of) / (1 + held)).astype(np.float32) + 0.1, np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, SIZES)))
     x = model.vectors(found)
     langs_ = np.array([lang for _, lang in kept], object)
     centroids, names, reach = [], [], []
     for lang in sorted(set(langs_)):
-        own = x[langs_ == lang]
-        at, of = cluster(own, CENTROIDS)
-        far = 1 - (own * at[of]).sum(1)
+        at, _ = cluster(x[langs_ == lang], CENTROIDS)
+        far, size, whose = [], [], []
+        own = pieces([t for t, other in kept if other == lang])
+        for k in range(0, len(own), 256):
+            part = np.stack([counts(t) for _, t in own[k : k + 256]])
+            cosine = model.vectors(part) @ at.T
+            far.append(1 - cosine.max(1)), size.append(sizes(part)), whose.append(cosine.argmax(1))
         centroids.append(at)
         names += [lang] * len(at)
-        reach.append([min(max(far[of == i].max(initial=0.5) + SLACK, NEAR), FAR) for i in range(len(at))])
+        reach.append(reach_of(np.concatenate(far), np.concatenate(size), np.concatenate(whose), len(at)))
     model.centroids, model.names, model.reach = np.concatenate(centroids).astype(np.float32), names, np.concatenate(reach)
     return model
 
 
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many rows of docs (text, ...) each bucket occurs, and how many rows have a letter. A task sends at
+    most one row for each bucket, which are added up before they come to the driver."""
+
+    def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches(found):
+            for text in batch.column("text").to_pylist():
+                if has_letter(text):
+                    held += counts(text) > 0
+                    of += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[held[at], of])], ["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    held = np.zeros(BUCKETS)
+    of = 0
+    for r in found:
+        if r["bucket"] < 0:
+            of = r["n"]
+        else:
+            held[r["bucket"]] = r["n"]
+    return held, of
+
+
 def fit(docs: DataFrame) -> Model:
     """Learns from texts and non-null lang of rows whose crc32(doc_id) modulo 4 is not 2."""
     usable = remainder(F.col("doc_id"), 4) != 2
     texts, langs, _ = sample(docs, docs.select("doc_id", F.col("lang").alias("label")), usable, PER_CLASS, MAX_CHARS)
-    return train(texts, langs)
+    return train(texts, langs, frequencies(docs.filter(usable & F.col("lang").isNotNull())) if texts else None)
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
@@ -127,12 +207,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not rejected."""
+    """The rows of docs that are not rejected, with the predicted language as their lang where docs have that column."""
 
-    @F.pandas_udf("boolean")
-    def rejected(texts):
+    @F.pandas_udf("string")
+    def spoken(texts):
         import pandas as pd
 
-        return pd.Series([x for at in range(0, len(texts), 256) for x in model.predict(texts.iloc[at : at + 256].tolist())[2]], dtype="bool")
+        out = []
+        for at in range(0, len(texts), 256):
+            lang, _, rejected = model.predict([t if isinstance(t, str) else None for t in texts.iloc[at : at + 256]])
+            out += [None if r else x for x, r in zip(lang, rejected)]
+        return pd.Series(out, dtype="object")
 
-    return docs.filter(~rejected(F.col("text")))
+    found = docs.select(F.struct("*").alias("row"), spoken(F.col("text")).alias("spoken")).filter("spoken is not null")
+    return found.select(*(F.col("spoken").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,6 +1,12 @@
 """Quality scores by Bradley-Terry ranking: the score of a document is linear in its features
 and is learned from preference pairs, by logistic loss on the features' differences. The
-threshold is the quantile of the scores that leaves as many below as have label 0."""
+threshold is the quantile of the scores of all labelled rows that may be learned from which
+leaves as many below as have label 0.
+
+The pairs are drawn from a bounded sample (at most PER_CLASS documents of each label, of at most
+MAX_CHARS characters, PAIRS pairs). Null texts count as empty, an empty text has the features of
+nothing. Of rows that repeat an id each gets its own score.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import batches, remainder
+from saltmarsh.llm.common import batches, checkpoint, remainder
 from saltmarsh.llm.learn import sample
 
 #: Bounds of the training sample: documents of each label, characters of a document, preference pairs.
@@ -95,24 +101,44 @@ def train(texts: list[str], labels: list[int], share: float, pairs: int = PAIRS,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns labels (doc_id, quality) from rows whose crc32(doc_id) modulo 3 is not 1."""
-    usable = (remainder(F.col("doc_id"), 3) != 1) & F.col("label").isin(0, 1)
-    texts, known, shares = sample(docs, labels.select("doc_id", F.col("quality").alias("label")), usable, PER_CLASS, MAX_CHARS)
+    """Learns labels (doc_id, quality) from rows whose crc32(doc_id) modulo 3 is not 1. The threshold is that of the
+    sample, weighted by the shares of the labels; `digest` replaces it by that of all rows."""
+    texts, known, shares = sample(docs, labels.select("doc_id", F.col("quality").alias("label")), usable(), PER_CLASS, MAX_CHARS)
     return train(texts, known, shares.get(0, 0.0))
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, score), a row for each row; a null text counts as empty."""
+def usable():
+    return (remainder(F.col("doc_id"), 3) != 1) & F.col("label").isin(0, 1)
+
+
+def raws(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, raw), the linear score of each row."""
 
     def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.score(batch.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.raw(batch.column("text").to_pylist()), pa.float64())], ["doc_id", "raw"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw double")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+def threshold(raw: DataFrame, labels: DataFrame) -> float | None:
+    """The quantile of the scores (doc_id, raw) of all rows that may be learned from at the share of label 0 among
+    them, halfway between the scores next to it (to a ten-thousandth of the rows); None if there are none."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).filter(usable()).distinct()
+    scored = raw.join(known, "doc_id")
+    share = scored.agg(F.avg((F.col("label") == 0).cast("double")).alias("share"), F.count("*").alias("n")).first()
+    if not share["n"]:
+        return None
+    at = [max(share["share"] - 0.5 / share["n"], 0.0), min(share["share"] + 0.5 / share["n"], 1.0)]
+    low, high = scored.agg(F.percentile_approx("raw", at, 20_000).alias("q")).first()["q"]
+    return (low + high) / 2
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The result of query op3: doc_id, held_out, score, predicted (1 from 0.5 on)."""
-    return scores(docs, fit(docs, labels)).select(
-        "doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    """The result of query op3: doc_id, held_out, score (0.5 at the threshold), predicted (1 from 0.5 on)."""
+    model = fit(docs, labels)
+    raw = checkpoint(raws(docs, model))
+    at = threshold(raw, labels)
+    z = (F.col("raw") - F.lit(model.threshold if at is None or not model.weight.any() else at)) / F.lit(model.spread)
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
+    return raw.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

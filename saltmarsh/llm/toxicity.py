@@ -5,6 +5,10 @@ a document the mean of its words, and a linear softmax stands on top; both are t
 jointly. An unseen misspelling shares most n-grams with the word it comes from. As all above
 the embeddings is linear, a trained model comes down to one weight for each bucket, and
 scoring needs one number for each distinct word.
+
+The model is fitted on a bounded sample: at most PER_CLASS documents of each label, of at most
+MAX_CHARS characters. Null texts, empty ones and those without a letter get the share of label 1
+among the labels. Of rows that repeat an id each gets its own score.
 """
 
 from __future__ import annotations
@@ -106,40 +110,41 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 60, r
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     held = np.log((held + smooth * n[:, None] / n.sum()) / n[:, None])
     ratio = (held[1] - held[0]).astype(np.float32)
-    speedup = (ratio / np.abs(ratio).max())[:, None] ** 2 if ratio.any() else np.ones((len(used), 1), np.float32)
+    speedup = (ratio / np.abs(ratio).max()) ** 2 if ratio.any() else np.ones(len(used), np.float32)
     doc, word, part = np.concatenate(doc), np.concatenate(word), np.concatenate(part).astype(np.float32)
     grams = (1 / np.bincount(owner, minlength=len(index))[owner]).astype(np.float32)
     rng = np.random.default_rng(seed)
     way = rng.normal(0, 1, SIZE)
     way /= np.linalg.norm(way)
-    emb = (ratio[:, None] * way + rng.normal(0, 0.01, (len(used), SIZE)) * np.abs(ratio)[:, None]).astype(np.float32)
+    emb = (ratio[:, None] * way + rng.normal(0, 0.01, (len(used), SIZE)) * np.abs(ratio)[:, None]).astype(np.float32).T.copy()
     params = [emb, np.stack([-way, way], 1).astype(np.float32), np.zeros(2, np.float32)]
     pace, top_grad = [np.zeros_like(p) for p in params], [0.0] * 3
     cost = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)[:, None]
     goal = np.stack([1 - y, y], 1)
     for _ in range(epochs):
         emb, top, bias = params
-        each = spread(emb[ids] * grams[:, None], owner, len(index))
-        hidden = spread(each[word] * part[:, None], doc, len(keep))
+        each = carried(emb, ids, grams, owner, len(index))
+        hidden = carried(each, word, part, doc, len(keep)).T
         z = hidden @ top + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         dz = (p - goal) * cost
-        d_each = spread((dz @ top.T)[doc] * part[:, None], word, len(index))
-        d_emb = spread(d_each[owner] * grams[:, None], ids, len(used))
+        d_each = carried((dz @ top.T).T.copy(), doc, part, word, len(index))
+        d_emb = carried(d_each, owner, grams, ids, len(used))
         for i, g in enumerate((d_emb * speedup, hidden.T @ dz, dz.sum(0))):
             top_grad[i] = max(0.9 * top_grad[i], float(np.abs(g).max()), 1e-12)
             pace[i] = 0.8 * pace[i] + 0.2 * g
             params[i] = params[i] - rate * pace[i] / top_grad[i]
     emb, top, bias = params
     weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = emb @ (top[:, 1] - top[:, 0])
+    weight[used] = emb.T @ (top[:, 1] - top[:, 0])
     return Model(weight, float(bias[1] - bias[0]) + prior, share)
 
 
-def spread(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each owner."""
-    return np.stack([np.bincount(owner, rows[:, k], n) for k in range(rows.shape[1])], 1).astype(np.float32)
+def carried(values: np.ndarray, of: np.ndarray, weight: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """The columns of values (k, m), of which number `of` goes with its weight to number `to`: sums (k, n). Row by row,
+    as contiguous ones are added up fastest."""
+    return np.stack([np.bincount(to, row[of] * weight, n) for row in values]).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import ann, bpe, graph, langid, media, packing, pii, quality, simhash, surrogates, toxicity, warc
+from saltmarsh.llm import ann, bpe, graph, langid, learn, media, packing, pii, quality, simhash, surrogates, toxicity, warc
 from saltmarsh.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -201,6 +201,116 @@ def test_held_out_labels_are_never_learned(spark, small):
     assert sorted(map(tuple, toxicity.digest(docs, labels).collect())) == sorted(map(tuple, toxicity.digest(docs, turned).collect()))
 
 
+def plain_toxicity(model, text):
+    weights = []
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        coded = b"<" + word.encode() + b">"
+        found = [zlib.crc32(coded)]
+        for n in toxicity.GRAMS:
+            for i in range(len(coded) - n + 1):
+                h = 2166136261 + n
+                for b in coded[i : i + n]:
+                    h = (h ^ b) * 16777619 % 2**32
+                found.append(h ^ h >> 15)
+        weights.append(sum(float(model.weight[f % toxicity.BUCKETS]) for f in found) / len(found))
+    return 1 / (1 + np.exp(-(sum(weights) / len(weights) + model.bias))) if weights else model.empty
+
+
+def test_toxicity_equals_brute_force(spark, small):
+    docs, labels = small
+    model = toxicity.fit(docs, labels)
+    rows = docs.select("doc_id", "text").limit(60).collect() + [(10**9, None), (10**9 + 1, "12"), (10**9 + 2, "Ünïcode idiotz")]
+    got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == pytest.approx({i: plain_toxicity(model, t) for i, t in rows}, abs=1e-6)
+    kept = toxicity.clean(odd(spark), model)
+    assert kept.columns == odd(spark).columns and kept.count() == sum(plain_toxicity(model, r[1]) < toxicity.THRESHOLD for r in ODD)
+    assert toxicity.clean(docs.limit(0), model).isEmpty()
+
+
+def plain_features(text):
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * len(quality.NAMES)
+    words, lines, n = data.split(), data.split(b"\n"), len(data)
+    w = max(len(words), 1)
+    kinds = [np.log1p(100 * sum(b in k for b in data) / n) for k in quality.KINDS.values()]
+    again = sum(a == b for a, b in zip(words, words[1:])) / w
+    most = max(data.count(bytes([b])) for b in set(data))
+    return [*kinds, np.log1p(n), 1 / w, np.log1p(100 * again), len(set(words)) / w * np.log1p(w), 1 - len(set(lines)) / len(lines), np.log(n / w), most / n]
+
+
+def test_quality_equals_brute_force(spark, small):
+    docs, labels = small
+    model = quality.fit(docs, labels)
+
+    def raw(text):
+        z = [min(max((x - m) / s, -8), 8) for x, m, s in zip(plain_features(text), model.mean, model.scale)]
+        return sum(w * x for w, x in zip(model.weight, z + [x * x / 8 for x in z]))
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    raws = {i: raw(t) for i, t in rows}
+    label = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    known = sorted(v for i, v in raws.items() if i in label)
+    bad = sum(label[i] == 0 for i in raws if i in label)
+    at = (known[bad - 1] + known[bad]) / 2  # as many below as have label 0
+    want = {i: 1 / (1 + np.exp(-min(max((v - at) / model.spread, -500), 500))) for i, v in raws.items()}
+    got = {r.doc_id: r for r in quality.digest(docs, labels).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-4)
+    assert all(r.predicted == (r.score >= 0.5) for r in got.values()) and sum(got[i].predicted == 0 for i in label if i in got) in (bad - 1, bad, bad + 1)
+    assert quality.digest(docs.limit(0), labels).isEmpty() and {r.score for r in quality.digest(odd(spark), labels.limit(0)).collect()} == {0.5}
+
+
+def test_language_equals_brute_force(spark, small):
+    docs, _ = small
+    model = langid.fit(docs)
+    learn = [r for r in docs.collect() if r.lang and r.text and any(c.isalpha() for c in r.text) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+
+    def plain_counts(text):
+        data = b" " + b" ".join(bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in (text or "").lower().encode()).split()) + b" "
+        out = {}
+        for n, salt in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+            for i in range(len(data) - n + 1):
+                b = int.from_bytes(data[i : i + n], "big") * salt % 2**32 >> 19
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    held = np.zeros(langid.BUCKETS)
+    for r in learn:
+        held[list(plain_counts(r.text))] += 1
+    assert np.allclose(model.idf, np.log((1 + len(learn)) / (1 + held)) + 0.1, atol=1e-5)
+    got = {r.doc_id: r for r in langid.digest(docs).collect()}
+    for r in docs.limit(40).collect():
+        found = plain_counts(r.text)
+        v = {b: np.log1p(n) * float(model.idf[b]) for b, n in found.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosine))
+        size = min(int(np.log2(sum(found.values()) + 1)), langid.SIZES - 1)
+        assert got[r.doc_id].lang_pred == model.names[best] and got[r.doc_id].score == pytest.approx(cosine[best], abs=1e-4)
+        if abs(1 - cosine[best] - model.reach[best, size]) > 1e-4:
+            assert got[r.doc_id].rejected == (1 - cosine[best] > model.reach[best, size])
+    kept = langid.accepted(odd(spark), model)
+    assert kept.columns == odd(spark).columns and {r.lang for r in kept.collect()} <= set(model.names) and langid.accepted(odd(spark).limit(0), model).isEmpty()
+
+
+def test_reach_is_learned():
+    far, size, whose = np.array([0.5] * 40 + [0.3] * 40 + [0.2, 0.6]), np.array([6] * 40 + [9] * 40 + [9, 9]), np.array([0] * 40 + [1] * 41 + [0])
+    got = langid.reach_of(far, size, whose, 2) - langid.SLACK
+    assert got[1, 9] == pytest.approx(0.3) and got[0, 9] == pytest.approx(0.6) and (np.diff(got, axis=1) <= 0).all() and got[1, 5] == pytest.approx(0.5)
+
+
+def test_samples_of_repeated_ids_are_the_same_in_any_order(spark):
+    rows = [(i % 7, f"text {i}", "ab"[i % 2]) for i in range(40)]
+    found = []
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, "doc_id long, text string, label string").repartition(3)
+        found.append(learn.sample(docs, docs, F.lit(True), 10, 100))
+    assert found[0] == found[1] and len(found[0][0]) == 7
+    many = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("l"), (F.col("id") % 300).cast("string")).alias("label"))
+    texts, labels, shares = learn.sample(many, many, F.lit(True), 5, 100)
+    assert len(shares) == len(set(labels)) == learn.LABELS and len(texts) <= learn.TOTAL
+
+
 # --- media
 
 
