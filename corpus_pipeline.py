@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from saltmarsh.llm import langid, packing, pii, simhash, toxicity
-from saltmarsh.llm.common import shared_dir, table
+from saltmarsh.llm.common import remove, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, pii.resolve(docs))
+    return pii.pseudonymise(docs, pii.resolve(docs, pii.session_key(spark)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -48,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each one's rows are written as Parquet and read again. A step's files are removed
+    when the next one is written; those of the last one are what is returned and belong to the caller."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
