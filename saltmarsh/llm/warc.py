@@ -1,34 +1,60 @@
 """WARC archives: writing captures, reading records, assembling transactions.
 
 A capture is three records: the request, the response (or a revisit of an earlier one with the
-same payload) and metadata; request and metadata name the response in WARC-Concurrent-To. The
-archives are written by Spark's text writer, one row being a capture and the record separator
-being the line separator, so that any file system that Spark writes to will do, a lost task
-leaves nothing behind, and each part file is a gzipped WARC of at most `per_file` captures.
+same payload) and metadata; request and metadata name the response in WARC-Concurrent-To, a
+revisit names the response that it repeats in WARC-Refers-To. A record's identifier is a
+function of the page, its URL and its payload, so links hold however often and in whatever order
+Spark evaluates a row.
+
+Each record is a gzip member of its own. The archives are written and read by Spark's text
+source with an empty gzip member as the line separator: any file system will do, a lost task
+leaves nothing behind, files are split between tasks, a task holds one record at a time, and
+every file is an ordinary gzipped WARC. The separator can't occur within a member: it has bytes
+that are no UTF-8, which all records are before they are compressed, and a compressed one holds
+its 20 bytes by chance once in 2**160.
+
+Null html is an empty payload, a null url has no target header, a null page_id never is the
+smallest. Rows that repeat page_id, url and html are one capture that is written as often: their
+records are equal, identifiers included.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import shared_dir
+from saltmarsh.llm.common import batches, checkpoint, release, remove, shared_dir
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of at least so many bytes are stored once.
 SHARED = 100
-PER_FILE = 2000
+#: Rows of repeated payloads (about 150 bytes each) up to which they are sent to all tasks; more are joined by a shuffle.
+BROADCAST = 200_000
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member without a time or a name, so that equal records have equal ones."""
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return made.compress(record) + made.flush()
+
+
+SEPARATOR = member(b"").decode("latin-1")
+_RAW = {"lineSep": SEPARATOR, "encoding": "ISO-8859-1"}
 
 
 def _id(kind: str) -> Column:
-    h = F.md5(F.concat(F.lit(kind + "|"), F.col("uid")))
+    return _uuid(F.concat_ws("|", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest", F.coalesce("url", F.lit(" "))))
+
+
+def _uuid(of: Column) -> Column:
+    h = F.md5(of)
     return F.concat(F.lit("<urn:uuid:"), *(x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]), F.lit(">"))
 
 
@@ -46,63 +72,100 @@ def _header(name: str, value: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html, ...) -> (value): a row's three records in a string.
+    """pages (page_id, url, html, ...) -> (value): a row for each of a row's three records.
 
-    Of rows with equal payloads of SHARED bytes or more that with the smallest page_id is the
-    response (rows that repeat its page_id too), the others revisit it. A null html is an empty
-    payload, a null url has no target header, a null page_id never is the smallest.
+    Of rows with equal payloads of SHARED bytes or more that with the smallest page_id is the response (rows that
+    repeat its page_id too), the others revisit it.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", r"[\x00-\x20]", "%20").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"),
-        F.octet_length(html).alias("size"), F.concat_ws("|", F.col("page_id").cast("string"), F.monotonically_increasing_id().cast("string")).alias("uid"),
+        F.octet_length(html).alias("size"),
     )
-    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid"))
-    first = (
-        base.filter(F.col("size") >= SHARED).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1").select("digest", "first.page_id", F.col("first.uid").alias("uid")).select(F.col("digest").alias("d"), F.col("page_id").alias("first_id"), _id("response").alias("first_record"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit(" ")).alias("at")))
+    repeated = (
+        base.filter(F.col("size") >= SHARED).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+        .select(F.col("digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.at").alias("first_at"))
     )
-    joined = base.join(first, (base.digest == first.d) & (base.size >= SHARED), "left")
+    repeated = checkpoint(repeated)
+    if repeated.count() <= BROADCAST:
+        repeated = F.broadcast(repeated)
+    joined = base.join(repeated, (base.digest == repeated.d) & (base.size >= SHARED), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    first = _uuid(F.concat_ws("|", F.lit("response"), F.col("first_id").cast("string"), "digest", "first_at"))
     target = _header("WARC-Target-URI", F.col("url"))
     digest = _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     together = _header("WARC-Concurrent-To", _id("response"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     request = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1" + END))
     said = F.concat_ws(
-        "\r\n", _header("page-id", F.col("page_id").cast("string")), F.when(revisit, _header("refers-to-page-id", F.col("first_id").cast("string"))), F.lit("via: capture"),
+        "\r\n", _header("page-id", F.col("page_id").cast("string")), F.lit("via: capture"),
     )
     kind = F.when(revisit, "revisit").otherwise("response")
     profile = F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    refers = F.when(revisit, _header("WARC-Refers-To", F.col("first_record")))
+    refers = F.when(revisit, _header("WARC-Refers-To", first))
     http_type = lambda of: F.lit(f"Content-Type: application/http; msgtype={of}")
     return joined.select(
-        F.concat(
-            _record("request", _id("request"), [target, together, http_type("request")], request), F.lit(END),
-            _record(kind, _id("response"), [target, profile, refers, digest, http_type("response")], F.when(revisit, http).otherwise(F.concat(http, F.col("html")))), F.lit(END),
-            _record("metadata", _id("metadata"), [target, together, F.lit("Content-Type: application/warc-fields")], said),
-        ).alias("value")
+        F.explode(F.array(
+            F.concat(_record("request", _id("request"), [target, together, http_type("request")], request), F.lit(END)),
+            F.concat(_record(kind, _id("response"), [target, profile, refers, digest, http_type("response")], F.when(revisit, http).otherwise(F.concat(http, F.col("html")))), F.lit(END)),
+            F.concat(_record("metadata", _id("metadata"), [target, together, F.lit("Content-Type: application/warc-fields")], said), F.lit(END)),
+        )).alias("value")
     )
 
 
-def write(pages: DataFrame, folder: str, per_file: int = PER_FILE) -> None:
-    captures(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
-
+def write(pages: DataFrame, folder: str, per_file: int = 0) -> None:
+    """Writes the captures of all rows; per_file bounds the records of a file (0: a file for each task)."""
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record of an uncompressed archive; a record cut short is an error."""
-    at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
+    def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found):
+            yield pa.RecordBatch.from_arrays([pa.array([member(x) for x in batch.column("value").to_pylist()], pa.binary())], ["value"])
+
+    made = captures(pages).select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "value binary")
+    made.select(F.col("value").cast("string").alias("value")).write.options(**_RAW).option("maxRecordsPerFile", per_file).text(folder)
+
+
+def inflate(data: bytes) -> Iterator[bytes]:
+    """The bytes of all members of a gzip file, a megabyte at a time."""
+    rest = memoryview(data)
+    while len(rest):
+        reader = zlib.decompressobj(31)
+        while not reader.eof:
+            out = reader.decompress(rest[: 1 << 20], 1 << 20)
+            used = min(len(rest), 1 << 20) - len(reader.unconsumed_tail) - len(reader.unused_data)
+            rest = rest[used:]
+            if out:
+                yield out
+            elif not used and not reader.eof:
+                raise ValueError("the archive is cut short")
+
+
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each record of an uncompressed archive that comes in chunks; no more than a record and a
+    chunk is held. A record cut short is an error."""
+    source, held, at = iter(chunks), bytearray(), 0
+
+    def more() -> bool:
+        held.extend(part := next(source, b""))
+        return bool(part)
+
+    while held or more():
+        seen = 0
+        while (head := held.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
+            seen = len(held)
+            if not held.startswith(b"WARC/"[:seen]) or not more():
+                raise ValueError(f"no record at byte {at}")
+        if not held.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:head].decode("utf-8", "replace").split("\r\n")[1:])]
-        size = int(dict(headers)["content-length"])
+        headers = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in held[:head].decode("utf-8", "replace").split("\r\n")[1:])]
         start = head + 4
-        if start + size + 4 > len(data):
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield headers, data[start : start + size]
-        at = start + size + 4
+        end = start + int(dict(headers)["content-length"])
+        while len(held) < end + 4:
+            if not more():
+                raise ValueError(f"the record at byte {at} is cut short")
+        yield headers, bytes(held[start:end])
+        del held[: end + 4]
+        at += end + 4
 
 
 SCHEMA = (
@@ -131,24 +194,41 @@ def _row(headers: list[tuple[str, str]], block: bytes, payload: bool) -> tuple:
     )
 
 
+_TYPES = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
+_NAMES = [x.split()[0] for x in SCHEMA.replace("map<string,string>", "map").split(", ")]
+
+
+def _batches(records: Iterable[tuple[list[tuple[str, str]], bytes]], payload: bool) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+    for headers, block in records:
+        rows.append(_row(headers, block, payload))
+        held += len(block) if payload else 0
+        if len(rows) >= 5000 or held > 16 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+
+
 def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The records of all gzipped archives in a folder, as SCHEMA; payload=False leaves that column null."""
-    types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
-    names = [x.split()[0] for x in SCHEMA.replace("map<string,string>", "map").split(", ")]
+    """The records of archives that `write` made, as SCHEMA; payload=False leaves that column null."""
+
+    def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = (x.as_buffer() for batch in found for x in batch.column("value"))
+        yield from _batches((record for data in members if data.size for record in parse(inflate(data))), payload)
+
+    return spark.read.options(**_RAW).text(folder).select(F.col("value").cast("binary").alias("value")).mapInArrow(run, SCHEMA)
+
+
+def read_files(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """The records of all gzipped archives (*.gz) in a folder, whoever wrote them, a file being one task's work: the
+    compressed file is held (2 GB at most, as Spark's binary files are), what is in it a record at a time."""
 
     def run(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for data in batch.column("content"):
-                rows: list[tuple] = []
-                held = 0
-                for headers, block in parse(gzip.decompress(data.as_buffer())):
-                    rows.append(_row(headers, block, payload))
-                    held += len(block) if payload else 0
-                    if len(rows) >= 5000 or held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield from _batches(parse(inflate(data.as_buffer())), payload)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
     return files.select("content").mapInArrow(run, SCHEMA)
@@ -174,14 +254,23 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """The result of query op5: the archives are written to the shared folder and read back."""
+    """The result of query op5: the archives are written to the shared folder, read back, assembled, and each revisit's
+    link is followed to the record that it refers to. The archives are removed once their records are read."""
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(pages, folder)
-    found = assemble(read(spark, folder, payload=False).drop("payload"))
-    return found.select(
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha256").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.col("metadata.fields")["refers-to-page-id"].cast("long").alias("refers_to"),
-    )
+    records = checkpoint(read(spark, folder, payload=False).select("record_id", "type", "concurrent_to", "refers_to", "fields", "payload_bytes", "payload_sha256"))
+    remove(spark, folder)
+    found = checkpoint(assemble(records).select(
+        "record_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha256").alias("payload_digest"),
+        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("link"),
+    ))
+    release(records)
+    plain, revisits = found.filter("link is null"), found.filter("link is not null")
+    wanted = checkpoint(revisits.select("link").distinct())
+    small = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST else (lambda df: df)
+    linked = found.filter("record_type = 'response'").join(small(wanted), F.col("record_id") == wanted["link"]).groupBy(wanted["link"]).agg(F.min("page_id").alias("refers_to"))
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(revisits.join(small(linked), "link", "left").select(*out))
 
 
 #: DuckDB SQL for digest() over `pages`.

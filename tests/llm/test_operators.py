@@ -435,22 +435,70 @@ def test_nearest_of_few(spark):
 # --- WARC
 
 
+LONG = "é<p>\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 9
+PAGES = [(1, "http://a/x y", LONG), (2, None, LONG), (3, "http://b", "short"), (4, "http://c", "short"), (5, "http://d", None), (None, "http://e", LONG), (1, "http://a/x y", LONG), (6, "http://f", "z" * 300000), (1, "http://a/other", LONG), (7, "http://g", "y" * 100), (8, "http://g", "y" * 100)]
+
+
 def test_warc_round_trip(spark, tmp_path):
-    long = "é<p>\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 9
-    rows = [(1, "http://a/x y", long), (2, None, long), (3, "http://b", "short"), (4, "http://c", "short"), (5, "http://d", None), (None, "http://e", long), (1, "http://a/x y", long), (6, "http://f", "z" * 300000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("d", F.lit("x"))
     warc.write(pages, str(tmp_path / "w"), per_file=2)
     records = warc.read(spark, str(tmp_path / "w"))
-    assert {(r["type"], r["count"]) for r in records.groupBy("type").count().collect()} == {("request", 8), ("metadata", 8), ("response", 6), ("revisit", 2)}
+    assert {(r["type"], r["count"]) for r in records.groupBy("type").count().collect()} == {("request", 11), ("metadata", 11), ("response", 8), ("revisit", 3)}
     payloads = sorted(bytes(r.payload) for r in records.filter("type = 'response'").collect())
-    assert payloads == sorted((h or "").encode() for i, _, h in rows if (i, h) not in ((2, long), (None, long)))
+    assert payloads == sorted((h or "").encode() for i, _, h in PAGES if (i, h) not in ((2, LONG), (None, LONG), (8, "y" * 100)))
     whole = warc.assemble(records).collect()
-    assert len(whole) == 8 and all(r.request.target_uri == r.response.target_uri == r.metadata.target_uri for r in whole)
+    assert len(whole) == 11 and all(r.request.target_uri == r.response.target_uri == r.metadata.target_uri for r in whole)
     got = sorted(((r.page_id or 0), r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.digest(spark, pages).collect())
-    assert got == [(0, "revisit", 1, len(long.encode())), (1, "response", 0, len(long.encode())), (1, "response", 0, len(long.encode())), (2, "revisit", 1, len(long.encode())), (3, "response", 0, 5), (4, "response", 0, 5), (5, "response", 0, 0), (6, "response", 0, 300000)]
+    n = len(LONG.encode())
+    assert got == [(0, "revisit", 1, n), (1, "response", 0, n), (1, "response", 0, n), (1, "response", 0, n), (2, "revisit", 1, n), (3, "response", 0, 5), (4, "response", 0, 5), (5, "response", 0, 0), (6, "response", 0, 300000), (7, "response", 0, 100), (8, "revisit", 7, 100)]
     assert warc.digest(spark, pages.limit(0)).isEmpty()
 
 
+def test_archives_are_gzipped_warcs_with_a_member_for_each_record(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    os.mkdir(tmp_path / "copied")
+    members = 0
+    for i, name in enumerate(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")):
+        data = name.read_bytes()
+        found = list(warc.parse([gzip.decompress(data)]))
+        (tmp_path / "copied" / f"{i}.warc.gz").write_bytes(data)
+        while data:
+            reader = zlib.decompressobj(31)
+            record = reader.decompress(data)
+            members += bool(record)
+            assert not record or len(list(warc.parse([record]))) == 1
+            data = reader.unused_data
+        assert len(found) in (0, 33)
+    assert members == 33
+    key = lambda r: (r.record_id, r.type, bytes(r.payload or b""))
+    assert sorted(map(key, warc.read_files(spark, str(tmp_path / "copied")).collect())) == sorted(map(key, warc.read(spark, str(tmp_path / "w")).collect()))
+
+
+def test_every_link_leads_to_a_response(spark, tmp_path):
+    rows = [(i, f"http://h/{i % 5}", f"{i % 4} " * 60) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    warc.write(pages, str(tmp_path / "w"))
+    records = warc.read(spark, str(tmp_path / "w")).collect()
+    ids = {r.record_id: r for r in records}
+    assert len(ids) == 360
+    revisits = [r for r in records if r.type == "revisit"]
+    assert len(revisits) == 116 and all(ids[r.refers_to].type == "response" and ids[r.refers_to].payload_sha256 == r.payload_sha256 for r in revisits)
+    assert all(ids[c].type in ("response", "revisit") for r in records for c in r.concurrent_to)
+
+
+@pytest.mark.parametrize("most", [0, warc.BROADCAST])
+def test_warc_equals_its_sql_on_pages_with_revisits(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST", most)
+    rows = [(i, f"http://h/{i}", None if i % 11 == 0 else "b" * (95 + i % 9) if i % 3 else f"page {i} " * 20) for i in range(90)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    want = db.sql(warc.ORACLE)
+    got = warc.digest(spark, spark.read.parquet(str(tmp_path / "pages"))).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr) and got.filter("record_type = 'revisit'").count() > 20
+
+
 def test_assembly_by_either_side(spark):
     base = {"target_uri": None, "date": None, "refers_to": None, "digest": None, "fields": None, "payload_bytes": None, "payload_sha256": None, "payload": None}
     rows = [{"record_id": i, "type": t, "concurrent_to": c} | base for i, t, c in (("r1", "response", ["q1"]), ("q1", "request", []), ("m1", "metadata", ["r1"]), ("m0", "metadata", ["r1"]), ("r2", "response", []), ("q9", "request", ["gone"]))]
@@ -460,9 +508,19 @@ def test_assembly_by_either_side(spark):
 
 def test_cut_archives_are_errors():
     with pytest.raises(ValueError, match="cut short"):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
+        list(warc.parse([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"]))
     with pytest.raises(ValueError, match="no record"):
-        list(warc.parse(b"junk"))
+        list(warc.parse([b"junk"]))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.inflate(warc.member(b"x" * 5000)[:-9]))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=6), st.integers(1, 50))
+def test_records_in_chunks(blocks, size):
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    assert [b for _, b in warc.parse(data[i : i + size] for i in range(0, len(data), size))] == blocks
+    assert b"".join(warc.inflate(b"".join(map(warc.member, blocks)))) == b"".join(blocks)
 
 
 # --- BPE
