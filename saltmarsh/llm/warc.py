@@ -266,11 +266,11 @@ def digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
     ))
     release(records)
     plain, revisits = found.filter("link is null"), found.filter("link is not null")
-    wanted = checkpoint(revisits.select("link").distinct())
+    wanted = checkpoint(revisits.select(F.col("link").alias("target")).distinct())
     small = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST else (lambda df: df)
-    linked = found.filter("record_type = 'response'").join(small(wanted), F.col("record_id") == wanted["link"]).groupBy(wanted["link"]).agg(F.min("page_id").alias("refers_to"))
+    linked = found.filter("record_type = 'response'").select("page_id", F.col("record_id").alias("target")).join(small(wanted), "target").groupBy("target").agg(F.min("page_id").alias("refers_to"))
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(revisits.join(small(linked), "link", "left").select(*out))
+    return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(revisits.withColumnRenamed("link", "target").join(small(linked), "target", "left").select(*out))
 
 
 #: DuckDB SQL for digest() over `pages`.
