@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import checkpoint
+from saltmarsh.llm.common import checkpoint, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
             large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
         )
-        links = checkpoint(small.distinct())
+        last, links = links, checkpoint(small.distinct())
+        release(last)

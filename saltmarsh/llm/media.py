@@ -4,6 +4,11 @@ An Aho-Corasick automaton finds all magic bytes of all formats in one pass over
 validator for each format then walks its structure and gives the true length, or rejects the
 hit. What starts at 0 gives the type, whatever was declared; what lies within or behind it is
 carved.
+
+Formats whose end has to be looked for (PDF, ZIP) are resolved from one list of their end marks,
+chains of blocks (GIF, JPEG) that meet are followed once, and no hit is looked into within the compressed bytes of a confirmed gzip member, so that bytes
+full of signatures take time in proportion to their number. Null bytes have no type and nothing
+to carve; empty ones are of the unknown type.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -31,12 +37,12 @@ class Media(NamedTuple):
     length: int
 
 
-def _wav(b: bytes, at: int) -> int:
+def _wav(b: bytes, at: int, seen: dict[int, int]) -> int:
     chunks = dict((k, n) for k, _, n in riff_chunks(b, at))
     return 8 + struct.unpack_from("<I", b, at + 4)[0] if b[at + 8 : at + 12] == b"WAVE" and chunks.get(b"fmt ", 0) >= 16 and b"data" in chunks else 0
 
 
-def _webp(b: bytes, at: int) -> int:
+def _webp(b: bytes, at: int, seen: dict[int, int]) -> int:
     return 8 + struct.unpack_from("<I", b, at + 4)[0] if b[at + 8 : at + 12] == b"WEBP" and any(k[:3] == b"VP8" for k, _, _ in riff_chunks(b, at)) else 0
 
 
@@ -56,7 +62,7 @@ def riff_chunks(b: bytes, at: int) -> list[tuple[bytes, int, int]]:
     return out
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(b: bytes, at: int, seen: dict[int, int]) -> int:
     here, first = at + 8, True
     while here + 12 <= len(b):
         size, name = struct.unpack_from(">I4s", b, here)
@@ -68,52 +74,70 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _chain(b: bytes, at: int, step: Callable[[bytes, int], tuple[int, bool]], seen: dict[int, int]) -> int:
+    """Where the chain of blocks that has one at `at` ends, or 0; step gives the next block's place and whether the
+    chain ends there, or 0. What follows a place doesn't depend on what led to it, so it is walked once (`seen`)."""
+    path, over = [], False
+    while not over and at not in seen:
+        path.append(at)
+        at, over = step(b, at)
+    end = at if over else seen[at]
+    for place in path:
+        seen[place] = end
+    return end
+
+
+def _gif_step(b: bytes, place: int) -> tuple[int, bool]:
+    """Places are doubled, odd ones are those of sub-blocks."""
+    here = place // 2
+    if here >= len(b):
+        return 0, True
+    if place % 2:
+        return (2 * (here + b[here] + 1) + 1 if b[here] else 2 * (here + 1)), False
+    if b[here] == 0x3B:
+        return 2 * (here + 1), True
+    if b[here] == 0x21:
+        return 2 * (here + 2) + 1, False
+    if b[here] == 0x2C and here + 10 < len(b):
+        flags = b[here + 9]
+        return 2 * (here + 11 + (3 << ((flags & 7) + 1) if flags & 128 else 0)) + 1, False
+    return 0, True
+
+
+def _gif(b: bytes, at: int, seen: dict[int, int]) -> int:
     if len(b) < at + 13:
         return 0
-    here = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 128 else 0)
-
-    def blocks(here: int) -> int:
-        while here < len(b) and b[here]:
-            here += b[here] + 1
-        return here + 1
-
-    while here < len(b):
-        if b[here] == 0x3B:
-            return here + 1 - at
-        if b[here] == 0x21:
-            here = blocks(here + 2)
-        elif b[here] == 0x2C and here + 10 < len(b):
-            flags = b[here + 9]
-            here = blocks(here + 11 + (3 << ((flags & 7) + 1) if flags & 128 else 0))
-        else:
-            return 0
-    return 0
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    here = at + 2
-    while here + 4 <= len(b) and b[here] == 0xFF:
-        mark, size = b[here + 1], struct.unpack_from(">H", b, here + 2)[0]
-        if mark == 0xFF:
-            here += 1
-            continue
-        if mark < 0xC0 or size < 2:
-            return 0
-        here += 2 + size
-        if mark == 0xDA:  # entropy-coded bytes up to a marker that isn't a restart
-            while (here := b.find(b"\xff", here)) >= 0:
-                if b[here + 1 : here + 2] == b"\xd9":
-                    return here + 2 - at
-                if here + 1 >= len(b) or not (b[here + 1] == 0 or 0xD0 <= b[here + 1] <= 0xD7):
-                    break
-                here += 2
-            if here < 0:
-                return 0
-    return 0
-
-
-def _bmp(b: bytes, at: int) -> int:
+    end = _chain(b, 2 * (at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 128 else 0)), _gif_step, seen)
+    return end // 2 - at if end else 0
+
+
+def _jpeg_step(b: bytes, here: int) -> tuple[int, bool]:
+    if here + 4 > len(b) or b[here] != 0xFF:
+        return 0, True
+    mark, size = b[here + 1], struct.unpack_from(">H", b, here + 2)[0]
+    if mark == 0xFF:
+        return here + 1, False
+    if mark < 0xC0 or size < 2:
+        return 0, True
+    here += 2 + size
+    if mark == 0xDA:  # entropy-coded bytes up to a marker that isn't a restart
+        while (here := b.find(b"\xff", here)) >= 0:
+            if b[here + 1 : here + 2] == b"\xd9":
+                return here + 2, True
+            if here + 1 >= len(b) or not (b[here + 1] == 0 or 0xD0 <= b[here + 1] <= 0xD7):
+                break
+            here += 2
+        if here < 0:
+            return 0, True
+    return here, False
+
+
+def _jpeg(b: bytes, at: int, seen: dict[int, int]) -> int:
+    end = _chain(b, at + 2, _jpeg_step, seen)
+    return end - at if end else 0
+
+
+def _bmp(b: bytes, at: int, seen: dict[int, int]) -> int:
     if len(b) < at + 30:
         return 0
     size, _, start, head, wide, high, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -121,35 +145,80 @@ def _bmp(b: bytes, at: int) -> int:
     return size if head in (40, 52, 56, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and wide > 0 and 14 + head <= start and start + rows <= size <= len(b) - at else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
-    reader = zlib.decompressobj(31)
+def _gzip(b: bytes, at: int, seen: dict[int, int]) -> int:
+    if len(b) < at + 18 or b[at + 3] & 0xE0:
+        return 0
+    here, flags = at + 10, b[at + 3]
+    if flags & 4:
+        here += 2 + struct.unpack_from("<H", b, here)[0]
+    for _ in range((flags >> 3 & 1) + (flags >> 4 & 1)):  # name and comment, which end in a zero; hits come in order, so the next zero is known
+        if seen.get(-1, -1) < here:
+            seen[-1] = b.find(b"\0", here) if here < len(b) else -1
+            if seen[-1] < 0:
+                seen[-1] = len(b)
+        here = seen[-1] + 1
+    here += flags & 2
+    if here not in seen:
+        seen[here] = _deflated(b, here)
+    return seen[here] - at if seen[here] else 0
+
+
+def _deflated(b: bytes, at: int) -> int:
+    """Where the deflated bytes from a place and their checks end, or 0."""
+    if at >= len(b):
+        return 0
+    reader, here, crc, size = zlib.decompressobj(-15), at, 0, 0
     try:
-        here = at
         while not reader.eof and here < len(b):
-            reader.decompress(b[here : here + 65536], 1 << 20)
-            while reader.unconsumed_tail:
-                reader.decompress(reader.unconsumed_tail, 1 << 20)
-            here += 65536
+            n = 1024 if here == at else 65536  # most false hits end within a few bytes
+            left = b[here : here + n]
+            here += n
+            while left and not reader.eof:
+                out = reader.decompress(left, 1 << 20)
+                crc, size, left = zlib.crc32(out, crc), size + len(out), reader.unconsumed_tail
     except zlib.error:
         return 0
-    return min(here, len(b)) - at - len(reader.unused_data) if reader.eof else 0
-
-
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    end = min(here, len(b)) - len(reader.unused_data)
+    return end + 8 if reader.eof and b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b) else 0
+def _places(b: bytes, mark: bytes) -> list[int]:
+    out, at = [], b.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = b.find(mark, at + 1)
+    return out
 
 
-#: Magic bytes, the type they stand for, and what confirms it.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
+def _pdfs(b: bytes, starts: list[int]) -> Iterator[Media]:
+    """A PDF goes from its header to the last end mark before the next header, as linearised and revised ones have
+    several; there has to be a cross-reference offset between."""
+    ends, offsets = _places(b, b"%%EOF"), _places(b, b"startxref")
+    for at, following in zip(starts, [*starts[1:], len(b)]):
+        i = bisect_left(ends, following) - 1
+        if i >= 0 and ends[i] > at:
+            j = bisect_left(offsets, ends[i]) - 1
+            if j >= 0 and offsets[j] > at:
+                yield Media("application/pdf", at, ends[i] + 5 - at)
+
+
+def _zips(b: bytes, starts: list[int]) -> Iterator[Media]:
+    """An end-of-directory record says how far before it the archive begins; of several for one start (an archive
+    that holds another one has both) the last counts."""
+    found: dict[int, int] = {}
+    for end in _places(b, b"PK\x05\x06"):
+        if end + 22 <= len(b):
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            first = end - size - start
+            if first >= 0 and end + 22 + note <= len(b) and b[first + start : first + start + 4] == b"PK\x01\x02":
+                found[first] = end + 22 + note
+    for at in starts:
+        if at in found:
+            yield Media("application/zip", at, found[at] - at)
+
+
+#: Magic bytes, the type they stand for, and what confirms it (nothing: all hits are resolved together).
+FORMATS: list[tuple[bytes, str, Callable[[bytes, int, dict[int, int]], int] | None]] = [
     (b"RIFF", "audio/wav", _wav),
     (b"RIFF", "image/webp", _webp),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
@@ -158,8 +227,8 @@ FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"BM", "image/bmp", _bmp),
     (b"\x1f\x8b\x08", "application/gzip", _gzip),
-    (b"%PDF-", "application/pdf", _pdf),
-    (b"PK\x03\x04", "application/zip", _zip),
+    (b"%PDF-", "application/pdf", None),
+    (b"PK\x03\x04", "application/zip", None),
 ]
 
 
@@ -178,16 +247,30 @@ _MAGIC = _automaton()
 
 def find(data: bytes) -> list[Media]:
     """All confirmed media in the bytes by start, nested ones included; empty or null bytes hold none."""
-    out = []
-    for last, (size, of) in _MAGIC.iter((data or b"").decode("latin-1")):
+    data = data or b""
+    out: list[Media] = []
+    together: dict[str, list[int]] = {}
+    seen: dict[str, dict[int, int]] = {}
+    packed = 0  # where the compressed bytes of the last gzip member end
+    for last, (size, of) in _MAGIC.iter(data.decode("latin-1")):
         start = last - size + 1
+        if start < packed:
+            continue
         for kind, length in of:
+            if length is None:
+                together.setdefault(kind, []).append(start)
+                continue
             try:
-                n = length(data, start)
+                n = length(data, start, seen.setdefault(kind, {}))
             except (struct.error, IndexError):
                 n = 0
             if 0 < n <= len(data) - start:
                 out.append(Media(kind, start, n))
+                if kind == "application/gzip":
+                    packed = start + n
+    for kind, resolve in (("application/pdf", _pdfs), ("application/zip", _zips)):
+        if kind in together:
+            out += resolve(data, together[kind])
     return sorted(out, key=lambda m: (m.start, -m.length))
 
 
@@ -210,12 +293,13 @@ def sniff(df: DataFrame, content: str = "content", declared: str = "declared") -
     and carved array<struct<kind,start,length>> with all media that don't start at 0."""
     kind = "struct<sniffed_type:string,carved:array<struct<kind:string,start:long,length:long>>>"
 
-    @F.udf(kind)
+    @F.pandas_udf(kind)
     def run(data):
-        if data is None:
-            return None
-        found = find(bytes(data))
-        return (next((m.kind for m in found if m.start == 0), UNKNOWN), [tuple(m) for m in found if m.start])
+        import pandas as pd
+
+        found = [None if x is None else find(bytes(x)) for x in data]
+        said = [None if f is None else next((m.kind for m in f if m.start == 0), UNKNOWN) for f in found]
+        return pd.DataFrame({"sniffed_type": said, "carved": [None if f is None else [m._asdict() for m in f if m.start] for f in found]})
 
     found = df.withColumn("_sniffed", run(F.col(content)))
     return found.select(
@@ -224,7 +308,7 @@ def sniff(df: DataFrame, content: str = "content", declared: str = "declared") -
     )
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared_type string, sniffed_type string, type_corrected boolean, n_carved int"
 
 
 def stored(text: str | None) -> bytes:
@@ -233,20 +317,30 @@ def stored(text: str | None) -> bytes:
     return wav(data + b"\0" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data)))
 
 
-def described(data: bytes) -> tuple:
-    """What is read back from stored bytes whose declared type is not known."""
-    outer = next(m for m in find(data) if m.start == 0 and m.length == len(data))
+#: What the stored bytes are declared as, by n_bytes modulo their number: mostly wrong, as in crawls.
+DECLARED = (UNKNOWN, "audio/wav", "text/html", "image/png")
+
+
+def described(data: bytes, declared: str) -> tuple:
+    """What is read back from stored bytes, whatever they were declared as."""
+    found = find(data)
+    outer = next(m for m in found if m.start == 0 and m.length == len(data))
     payload, head = samples_of(data, outer)
     said = f"{outer.kind};rate={head['rate']};bits={head['bits']};channels={head['channels']};samples={len(payload)};head={payload[:8].hex()}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), said
+    return (
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), said, declared, outer.kind, outer.kind != declared,
+        sum(m.start > 0 for m in found),
+    )
 
 
 def _digest(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches(found, mb=4):
         texts = batch.column("text").to_pylist()
-        rows = [(len((t or "").encode("utf-8", "surrogatepass")), *described(stored(t))) for t in texts]
-        columns = [pa.array(c) for c in zip(*rows)] if rows else []
+        sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        rows = [(n, *described(stored(t), DECLARED[n % len(DECLARED)])) for n, t in zip(sizes, texts)]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names)
 
 
@@ -276,5 +370,7 @@ SELECT doc_id, n_bytes, payload_bytes::BIGINT AS payload_bytes, sha256(unhex(bod
   xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, {UNIT}), lambda i: ('0x' || substr(body, (2 * (payload_bytes - {UNIT} + i) + 1)::BIGINT, 2))::BIGINT)),
     lambda c, b: xor(c >> 8, ({crc_table()}::BIGINT[])[1 + (xor(c, b) & 255)])), 4294967295)::BIGINT AS tail_crc32,
   (44 + payload_bytes)::BIGINT AS media_bytes, sha256(unhex(media)) AS media_sha256,
-  'audio/wav;rate={RATE};bits=8;channels=1;samples=' || payload_bytes || ';head=' || substr(body, 1, 16) AS feature
+  'audio/wav;rate={RATE};bits=8;channels=1;samples=' || payload_bytes || ';head=' || substr(body, 1, 16) AS feature,
+  (['{"', '".join(DECLARED)}'])[1 + n_bytes % {len(DECLARED)}] AS declared_type, 'audio/wav' AS sniffed_type, n_bytes % {len(DECLARED)} <> {DECLARED.index("audio/wav")} AS type_corrected,
+  0::INTEGER AS n_carved -- no text of the harness tables holds whole media
 FROM m"""

@@ -6,6 +6,7 @@ import io
 import os
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -341,6 +342,31 @@ def test_sniffing_never_fails(data, magic):
         assert m.start + m.length <= 2 * len(data) + len(magic)
 
 
+def test_media_with_several_end_marks():
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as f:
+        f.writestr("a", "hello" * 9)
+    with zipfile.ZipFile(outer, "w") as f:
+        f.writestr("b.zip", inner.getvalue())
+    found = media.find(outer.getvalue())
+    assert found[0] == media.Media("application/zip", 0, len(outer.getvalue())) and sum(m.kind == "application/zip" and m.length == len(inner.getvalue()) for m in found) == 1
+    revised = b"%PDF-1.4\nstartxref\n0\n%%EOF\nmore\nstartxref\n9\n%%EOF"
+    assert media.find(revised + revised) == [media.Media("application/pdf", 0, len(revised)), media.Media("application/pdf", len(revised), len(revised))]
+    one = gzip.compress(b"BM" + bytes(range(256)), 0)
+    assert [m.kind for m in media.find(one + media.wav(b"abc"))] == ["application/gzip", "audio/wav"]
+
+
+@pytest.mark.parametrize("magic", [m for m, _, _ in media.FORMATS] + [b"\xff\xd8\xff\xda\x00\x04", b"GIF89a\x01\0\x01\0\0\0\0\x2c", b"%PDF-startxref", b"%%EOF", b"PK\x05\x06", b"\x1f\x8b\x08\0\0\0\0\0\0\x03"])
+def test_bytes_full_of_signatures_take_time_in_proportion(magic):
+    took = []
+    for kb in (256, 1024):
+        data = magic * ((kb << 10) // len(magic))
+        began = time.process_time()
+        media.find(data)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.1)
+
+
 def test_sniff_column(spark):
     df = spark.createDataFrame([(bytearray(media.wav(b"q" * 9)), "image/png"), (bytearray(b"?"), None), (None, "x"), (bytearray(gzip.compress(b"x")), "application/gzip")], "content binary, declared string")
     got = [(r.sniffed_type, r.type_corrected, r.carved) for r in media.sniff(df).collect()]
@@ -400,7 +426,7 @@ def test_one_long_vector_leaves_the_others_apart(spark):
 
 def test_queries_of_small_tables_start_from_few(spark):
     rows = [(i, [float(np.cos(i / 400)), float(np.sin(i / 400))], [i]) for i in range(400)]
-    codes = ann.coded(spark.createDataFrame(rows, "node long, v array<double>, ids array<long>")).localCheckpoint()
+    codes = ann.coded(spark.createDataFrame(rows, "node long, v array<double>, ids array<long>")).persist()
     queries = codes.filter("node = 200").select(F.lit(999).cast("long").alias("q"), F.col("code").alias("query"), F.lit(None).cast("long").alias("own"))
     assert ann.search(queries, codes, spark.createDataFrame([], "node long, near long, score float")).count() == ann.STARTS
 
@@ -409,7 +435,7 @@ def test_a_search_goes_on_until_nothing_is_left_to_expand(spark, monkeypatch):
     monkeypatch.setattr(ann, "ENTRIES", 1)
     n = 24  # an arc of nodes of which each knows the next one only
     rows = [(i, [float(np.cos(i / n)), float(np.sin(i / n))], [i]) for i in range(n)]
-    codes = ann.coded(spark.createDataFrame(rows, "node long, v array<double>, ids array<long>")).localCheckpoint()
+    codes = ann.coded(spark.createDataFrame(rows, "node long, v array<double>, ids array<long>")).persist()
     edges = spark.createDataFrame([(i, i + 1, 0.0) for i in range(n - 1)], "node long, near long, score float")
     queries = codes.filter("node = 12").select(F.lit(99).cast("long").alias("q"), F.col("code").alias("query"), F.lit(None).cast("long").alias("own"))
     assert sorted(r.near for r in ann.search(queries, codes, edges).collect()) == list(range(n))
@@ -418,11 +444,13 @@ def test_a_search_goes_on_until_nothing_is_left_to_expand(spark, monkeypatch):
 def test_a_neighbourhood_offers_all_that_fit():
     x = np.random.default_rng(1).normal(size=(20, 8))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    codes = [np.float64(1).tobytes() + v.astype("<f4").tobytes() for v in x]
+    codes = ann.encoded(np.ones(20), x)
+    norm, unit = ann._decoded(codes)
+    assert (norm == 1).all() and np.abs(unit - x).max() < 2e-5
     rows = pa.RecordBatch.from_arrays([pa.array([7] * 20), pa.array(range(20)), pa.array([True] * 20), pa.array([-np.inf] * 20, pa.float32()), pa.array(codes, pa.binary())], ["at", "member", "fresh", "least", "code"])
     (got,) = ann._join([rows], 32)
     assert len(set(zip(got.column("node").to_pylist(), got.column("near").to_pylist()))) == 20 * 19
-    assert ann.kept_of(5) == (32, 256) and ann.kept_of(4 * ann.SMALL) == (40, 512)
+    assert ann.kept_of(5) == (32, ann.BEAM) and ann.kept_of(16 * ann.SMALL) == (40, 2 * ann.BEAM)
 
 
 def test_nearest_of_few(spark):
@@ -432,6 +460,11 @@ def test_nearest_of_few(spark):
     assert ann.digest(df.limit(0)).isEmpty() and ann.digest(df.filter("vec_id = 0")).isEmpty()
 
 
+def test_each_length_is_a_table_of_its_own(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0, 1.0]), (3, [0.5, 0.5]), (4, [0.5, 0.5, 0.0]), (5, [0.1, 0.1, 0.1]), (40, [3.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.digest(df).collect()) == [(0, 1, 3), (20, 1, 4), (20, 2, 5)]
+
+
 # --- WARC
 
 
