@@ -24,11 +24,23 @@ def clean(value: str | None) -> str:
     return _BLANKS.sub(" ", unicodedata.normalize("NFC", html.unescape(value or ""))).strip()
 
 
+class _Slug(dict):
+    """What each character of a decomposed lower-case text becomes; found out at its first time."""
+
+    def __missing__(self, point: int) -> str | None:
+        c = chr(point)
+        kind = unicodedata.category(c)
+        self[point] = None if kind == "Mn" else "d" if c == "đ" else c if kind[0] == "L" or kind == "Nd" else "-"
+        return self[point]
+
+
+_SLUG = _Slug()
+_HYPHENS = re.compile("-{2,}")
+
+
 def slug(value: str | None) -> str:
     """Lower-case letters and digits without marks, all else as single hyphens within."""
-    bare = (c for c in unicodedata.normalize("NFD", clean(value).lower()) if unicodedata.category(c) != "Mn")
-    kept = ("d" if c == "đ" else c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else "-" for c in bare)
-    return "-".join(part for part in "".join(kept).split("-") if part)
+    return _HYPHENS.sub("-", unicodedata.normalize("NFD", clean(value).lower()).translate(_SLUG)).strip("-")
 
 
 @arrow_udf("string")

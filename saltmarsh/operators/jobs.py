@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as T
@@ -34,30 +34,40 @@ def chapter_requests(stories: DataFrame, max_attempts: int) -> DataFrame:
     )
 
 
-def merged_payload(old: Column, new: Column) -> Column:
-    """Both objects' entries, the new one's where both have a key; values stay the JSON text that they were."""
-    raw = "map<string,string>"
-    entries = lambda p: F.map_entries(F.coalesce(F.from_json(p, raw), F.create_map().cast(raw)))
-    fresh = F.map_keys(F.coalesce(F.from_json(new, raw), F.create_map().cast(raw)))
-    kept = F.filter(entries(old), lambda e: ~F.array_contains(fresh, e["key"]))
+_ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def payload_entries(payload: Column) -> Column:
+    """array<struct<key,value>> of a JSON object; a value is JSON text. Null and what is no object have none."""
+    found = F.try_parse_json(payload)
+    entries = F.map_entries(F.when(F.schema_of_variant(found).startswith("OBJECT"), found).cast("map<string,variant>"))
+    return F.coalesce(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"))), F.array().cast(_ENTRIES))
 
-    def text(e: Column) -> Column:
-        v = e["value"]
-        bare = v.rlike(r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|[\[{].*)$")
-        quoted = F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'^\{"v":(.*)\}$', 1)
-        return F.concat(F.regexp_extract(F.to_json(F.struct(e["key"].alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit(":"), F.when(v.isNull(), "null").when(bare, v).otherwise(quoted))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.concat(kept, entries(new)), text), ","), F.lit("}"))
+def payload_of(entries: Column) -> Column:
+    """The JSON object with these entries, by key."""
+    name = lambda k: F.regexp_extract(F.to_json(F.struct(k.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(name(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+
+
+def merged_payload(old: Column, new: Column) -> Column:
+    """Both objects' entries, the new one's where both have a key."""
+    fresh = payload_entries(new)
+    kept = F.filter(payload_entries(old), lambda e: ~F.array_contains(F.transform(fresh, lambda x: x["key"]), e["key"]))
+    return payload_of(F.concat(kept, fresh))
 
 
 def enqueue(jobs: DataFrame, wanted: DataFrame, now: Column, with_payload: bool = True) -> DataFrame:
-    """Adds requests (REQUEST). A URL that is queued already keeps kind, status and attempts and gets
-    the greater priority and max_attempts, and unless with_payload is False the merged payload.
-    Requests that repeat a URL count in the order of their payload text; ids follow the greatest."""
-    once = wanted.groupBy("url").agg(
-        F.min("kind").alias("kind"), F.max("priority").alias("priority"), F.max("max_attempts").alias("max_attempts"), F.array_sort(F.collect_set(F.coalesce("payload", F.lit("{}")))).alias("payloads")
-    )
-    one = once.withColumn("payload", F.aggregate("payloads", F.lit("{}"), merged_payload)).drop("payloads")
+    """Adds requests (REQUEST, and seq if their order counts). A URL that is queued already keeps kind, status and
+    attempts and gets the greater priority and max_attempts, and unless with_payload is False the merged payload.
+    Of requests that repeat a URL the last one with a key gives its value, by seq and then by the value's text, so a
+    URL may be repeated by any share of the rows; ids follow the greatest."""
+    once = wanted.groupBy("url").agg(F.min("kind").alias("kind"), F.max("priority").alias("priority"), F.max("max_attempts").alias("max_attempts"))
+    order = F.struct(F.col("seq") if "seq" in wanted.columns else F.lit(0), F.col("e.value"))
+    each = wanted.select("url", *(["seq"] if "seq" in wanted.columns else []), F.explode(payload_entries(F.col("payload"))).alias("e"))
+    last_of = each.groupBy("url", F.col("e.key").alias("key")).agg(F.max_by("e.value", order).alias("value"))
+    said = last_of.groupBy("url").agg(payload_of(F.collect_list(F.struct("key", "value"))).alias("payload"))
+    one = once.join(said, "url", "left").withColumn("payload", F.coalesce("payload", F.lit("{}")))
     last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     fresh = one.join(jobs.select("url"), "url", "left_anti")
     # numbers without a window over all rows: a place within the partition, above all earlier ones
@@ -150,9 +160,3 @@ def settle(jobs: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     out = release(out, F.col("_now") == "released", F.col("_error"), now)
     out = fail(out, F.col("_now").isin("failed", "denied"), F.col("_status"), F.col("_error"), now, F.col("_now") == "denied")
     return out.select(jobs.columns)
-
-
-def first_by(jobs: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group; only a group's first leave a task, so large groups are no burden."""
-    ranked = jobs.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.filter("_nth = 1").drop("_nth")

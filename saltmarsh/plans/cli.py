@@ -44,7 +44,9 @@ def main(args: list[str]) -> int:
         print(queue.filter("status = 'failed'").count())
         store.commit({"crawl_jobs": jobs.retry_failed(queue, now)})
     elif command == "export":
-        reports.export_story(store.table("stories"), store.table("chapters"), rest[0]).show(1_000_000, truncate=False)
+        if len(rest) != 2:
+            raise SystemExit("export SLUG FOLDER")
+        reports.export_story(store.table("stories"), store.table("chapters"), rest[0]).write.json(rest[1])
     else:
         print(__doc__)
         raise SystemExit(f"no command {command!r}")

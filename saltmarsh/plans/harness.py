@@ -469,13 +469,5 @@ def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.decide(pages, known, F.lit("SaltmarshArchiver/1.0")).select("page_id", "allowed")
 
 
-@query()
-def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    # the pages have no main element; their article stands for it
-    rows = pages.select(F.concat(F.lit("https://example.org/story-"), F.col("page_id").cast("string"), F.lit("/1")).alias("url"), F.regexp_replace(F.regexp_replace("html", "<article>", "<main><div><div>"), "</article>", "</div></div></main>").alias("body"))
-    return html.chapters(rows)
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -74,16 +74,18 @@ def process(store: Store, captures: DataFrame, robots_files: DataFrame, config:
     return Batch(changed, mine.count())
 
 
-def run(store: Store, captures: DataFrame, robots_files: DataFrame, config: Config, now: Column, n: int = 10_000, rounds: int = 100) -> int:
-    """Batches until a round finishes nothing; returns the number of rounds. Running it again repeats nothing."""
-    for done in range(rounds):
+def run(store: Store, captures: DataFrame, robots_files: DataFrame, config: Config, now: Column, n: int = 10_000) -> int:
+    """Batches until a round finishes nothing; returns the number of rounds. A round that finishes something leaves
+    fewer jobs to do, so there is a last one. Running it again repeats nothing."""
+    done = 0
+    while True:
         before = store.table("crawl_jobs").filter(F.col("status").isin("completed", "failed")).count()
         batch = process(store, captures, robots_files, config, now + F.make_dt_interval(secs=F.lit(done)), n)
         if batch.changed:
             store.commit(batch.changed)
         if not batch.claimed or store.table("crawl_jobs").filter(F.col("status").isin("completed", "failed")).count() == before:
             return done
-    return rounds
+        done += 1
 
 
 def covers(store: Store, listing: DataFrame, config: Config, now: Column) -> None:
@@ -91,5 +93,3 @@ def covers(store: Store, listing: DataFrame, config: Config, now: Column) -> Non
     stories = store.table("stories")
     found = C.cover_paths(stories, listing, config).filter("cover_path is not null").join(stories.select("source_slug", "source_url"), "source_slug")
     store.commit({"stories": merge.save_cover(stories, found.select("source_url", F.col("cover_path").alias("cover_url")), now)})
-
-

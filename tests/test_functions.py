@@ -16,34 +16,34 @@ def one(spark, column, **values):
 def test_clean_and_slug():
     assert T.clean("  a &amp;amp; b\n\tc ") == "a &amp; b c".replace("&amp;", "&amp;")
     assert T.clean(" x y ") == "x y"
-    assert T.slug("  Đấu  Phá Thương Khung! ") == "dau-pha-thuong-khung"
+    assert T.slug(" Đường -- về  Biển Đông?") == "duong-ve-bien-dong" and T.slug("Ölçü №5") == "olcu-5"
     assert T.slug(None) == T.slug("!!!") == ""
 
 
-@pytest.mark.parametrize(("said", "n"), [("1,076", 1076), ("", 0), ("12a", 0), ("99999999999999999999", 2**63 - 1), ("1.234.567", 1234567)])
+@pytest.mark.parametrize(("said", "n"), [("12,345", 12345), ("", 0), ("12a", 0), ("99999999999999999999", 2**63 - 1), ("1.234.567", 1234567)])
 def test_count(spark, said, n):
     assert one(spark, T.count(F.col("s")), s=said) == n
 
 
 def test_header_patterns(spark):
-    header = "Đang cập nhật 542 Lượt Xem 1,076 Chương 349 Người Theo Dõi 5.0 (22 đánh giá)"
+    header = "4.2 (31 đánh giá) 87 Người Theo Dõi Tạm dừng 64 Chương 12,345 Lượt Xem"
     at = lambda c: one(spark, c, s=header)
-    assert (at(T.matched_count(F.col("s"), T.VIEWS)), at(T.matched_count(F.col("s"), T.CHAPTERS)), at(T.matched_count(F.col("s"), T.FOLLOWERS))) == (542, 1076, 349)
-    assert at(T.rating(F.col("s"))) == 5.0 and at(T.matched_count(F.col("s"), T.RATING, 2)) == 22
-    assert one(spark, T.matched(F.col("s"), T.AUTHOR), s="X - TÁC GIẢ ẩn danh | Y") == "ẩn danh"
+    assert (at(T.matched_count(F.col("s"), T.VIEWS)), at(T.matched_count(F.col("s"), T.CHAPTERS)), at(T.matched_count(F.col("s"), T.FOLLOWERS))) == (12345, 64, 87)
+    assert at(T.rating(F.col("s"))) == 4.2 and at(T.matched_count(F.col("s"), T.RATING, 2)) == 31
+    assert one(spark, T.matched(F.col("s"), T.AUTHOR), s="Muối - TÁC GIẢ Hạ Vi | Kệ") == "Hạ Vi"
     assert one(spark, T.card_rating(F.col("s")), s="5,5") is None and one(spark, T.card_rating(F.col("s")), s="x 4,5 y") == 4.5
 
 
-@pytest.mark.parametrize(("said", "day"), [("3 tháng 12 năm 2022", dt.date(2022, 12, 3)), ("31 Tháng 2 năm 2022", dt.date(2022, 3, 3)), ("32 tháng 1 năm 2022", None), ("1 tháng 13 năm 2022", None), ("", None)])
+@pytest.mark.parametrize(("said", "day"), [("9 tháng 5 năm 2021", dt.date(2021, 5, 9)), ("30 Tháng 2 năm 2021", dt.date(2021, 3, 2)), ("32 tháng 1 năm 2022", None), ("1 tháng 13 năm 2022", None), ("", None)])
 def test_date(spark, said, day):
     assert one(spark, T.date(F.col("s")), s=said) == day
 
 
 def test_times(spark):
-    assert one(spark, T.local_time(F.col("t")), t=("2026-07-18 05:32:00", "timestamp")) == "18/07/2026 12:32"
+    assert one(spark, T.local_time(F.col("t")), t=("2025-03-01 18:45:00", "timestamp")) == "02/03/2025 01:45"
     assert one(spark, T.local_time(F.col("t")), t=(None, "timestamp")) == "—"
     now = F.lit("1994-11-06 08:49:00").cast("timestamp")
-    for said, seconds in (("12", 12), ("-1", 0), ("x", 0), ("Sun, 06 Nov 1994 08:49:37 GMT", 37), ("Sunday, 06-Nov-94 08:49:37 GMT", None), ("Sun Nov  6 08:49:37 1994", 37), ("Sun, 06 Nov 1994 08:00:00 GMT", 0)):
+    for said, seconds in (("45", 45), ("-1", 0), ("x", 0), ("Sun, 06 Nov 1994 08:49:37 GMT", 37), ("Sunday, 06-Nov-94 08:49:37 GMT", None), ("Sun Nov  6 08:49:37 1994", 37), ("Sun, 06 Nov 1994 08:00:00 GMT", 0)):
         got = one(spark, T.retry_after(F.col("s"), now), s=said)
         assert seconds is None or got == seconds
 
@@ -52,10 +52,10 @@ def test_numbers_labels_names(spark):
     assert one(spark, T.dotted(F.col("n")), n=(-1234567, "long")) == "-1.234.567"
     assert one(spark, T.rating_cell(F.col("n")), n=(0.0, "double")) == "Chưa có" and one(spark, T.rating_cell(F.col("n")), n=(4.25, "double")) in ("4.2", "4.3")
     assert one(spark, T.status_label(F.col("s")), s="?") == "Chưa rõ" and one(spark, T.job_label(F.col("s")), s="?") == "?"
-    assert one(spark, T.safe_name(F.col("s")), s="-Đấu Phá/../_x-") == "đấuphá_x"
+    assert one(spark, T.safe_name(F.col("s")), s="-Đầm Lầy/../_9-") == "đầmlầy_9"
     assert [one(spark, T.product_token(F.col("s")), s=s) for s in ("Salt/1.0 (x)", " A B", "", "x")] == ["salt", "a", "", "x"]
     assert one(spark, T.extension(F.col("s"), F.unhex(F.lit("89504E470D0A1A0A00"))), s="") == ".png" and one(spark, T.extension(F.col("s"), F.unhex(F.lit("00"))), s="image/JPEG; q") == ".jpg"
-    assert one(spark, T.chapter_title(F.col("s"), F.lit(7)), s="#7 ") == "Chương 7" and one(spark, T.chapter_title(F.col("s"), F.lit(1)), s="#1 Chương 1 : X") == "Chương 1 : X"
+    assert one(spark, T.chapter_title(F.col("s"), F.lit(7)), s="#7 ") == "Chương 7" and one(spark, T.chapter_title(F.col("s"), F.lit(1)), s="#8 Chương 8 - Gió") == "Chương 8 - Gió"
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, "é" * 3000, "漢" * 2000, "x" + "é" * 3000, "xy" + "🌊" * 1500, "short", ""])
@@ -68,8 +68,8 @@ def test_urls(spark):
     base = "https://example.org/truyen?sort=rate"
     assert U.story_url(base, "/abc/?x=1#y") == ("https://example.org/abc/", "abc")
     assert [U.story_url(base, h) for h in ("/a/b", "/login", "http://example.org/a", "https://other.org/a", "/", None, "https://[")] == [None] * 7
-    assert U.image_url(base, "/_next/image?url=https%3A%2F%2Fcdn.example%2Fcover.jpg&w=1") == "https://cdn.example/cover.jpg"
-    assert U.resolve(base, "?page=2#z") == "https://example.org/truyen?page=2"
+    assert U.image_url(base, "/_next/image?w=64&url=https%3A%2F%2Fimg.test%2Flamp.png") == "https://img.test/lamp.png"
+    assert U.resolve(base, "?page=8#z") == "https://example.org/truyen?page=8"
     hosts = {"EXAMPLE.org.": True, "cdn.example.org": True, "cdn.example.net": True, "example.com": False, "notexample.org": False}
     assert {h: one(spark, U.allowed_host(F.col("h"), "example.org", "cdn.example.net"), h=h) for h in hosts} == hosts
     assert one(spark, U.robots_path(F.col("u")), u="https://e.org") == "/" and one(spark, U.robots_path(F.col("u")), u="https://e.org/a?b=1#c") == "/a?b=1"

@@ -20,8 +20,8 @@ COLUMNS = "url string, final_url string, status int, headers map<string,string>,
 def captures(spark):
     at = "2024-01-01 00:00:00"
     catalog = "https://example.org/truyen?order=desc&page=1&sort=rate"
-    story = STORY.replace("1,076 Chương", "2 Chương")
-    rows = [(catalog, None, 200, {"ETag": "1"}, CATALOG, at), ("https://example.org/dau-la", None, 200, {}, story, at), ("https://example.org/dau-la/1", None, 200, {}, CHAPTER, at), ("https://example.org/dau-la/2", None, 404, {}, "", at)]
+    story = STORY.replace("64 Chương", "5 Chương")
+    rows = [(catalog, None, 200, {"ETag": "1"}, CATALOG, at), ("https://example.org/ngon-hai-dang", None, 200, {}, story, at), ("https://example.org/ngon-hai-dang/4", None, 200, {}, CHAPTER, at), ("https://example.org/ngon-hai-dang/2", None, 404, {}, "", at)]
     return spark.createDataFrame(rows, COLUMNS).withColumn("fetched_at", F.col("t").cast("timestamp")).drop("t")
 
 
@@ -40,12 +40,12 @@ def seeded(spark, folder):
 
 def check(store):
     got = {r.url.rsplit("/", 1)[1] if r.kind != "catalog" else "catalog": r.status for r in store.table("crawl_jobs").collect()}
-    assert got == {"catalog": "completed", "dau-la": "completed", "1": "completed", "2": "failed"}
+    assert got == {"catalog": "completed", "ngon-hai-dang": "completed", "4": "completed", "2": "failed", "1": "pending", "3": "pending", "5": "pending"}
     (story,) = store.table("stories").collect()
-    assert (story.source_slug, story.title, story.status, story.expected_chapter_count) == ("dau-la", "Kiếm Lai", "updating", 2) and story.author_id == store.table("authors").first().id
-    assert [r.title for r in store.table("chapters").collect()] == ["Chương 1 : Thế cuộc"]
-    assert store.table("story_genres").count() == 1 and store.table("source_documents").count() == 3
-    assert [float(r.progress_percent) for r in reports.progress(store.table("stories"), store.table("chapters")).collect()] == [50.0]
+    assert (story.source_slug, story.title, story.status, story.expected_chapter_count) == ("ngon-hai-dang", "Đầm Lầy Muối", "completed", 5) and story.author_id == store.table("authors").first().id
+    assert [r.title for r in store.table("chapters").collect()] == ["Chương 4: Thủy triều"]
+    assert store.table("story_genres").count() == 2 and store.table("source_documents").count() == 3
+    assert [float(r.progress_percent) for r in reports.progress(store.table("stories"), store.table("chapters")).collect()] == [20.0]
     for name in SCHEMAS:
         assert violations(name, store.table(name)).isEmpty(), name
 
@@ -56,10 +56,10 @@ def test_run_and_again(spark, tmp_path):
     check(store)
     ingest.run(store, captures(spark), robots(spark), CONFIG, now())
     check(store)
-    assert [r[0] for r in reports.export_story(store.table("stories"), store.table("chapters"), "dau-la").collect()] == [1]
-    listing = spark.createDataFrame([("c/dau-la.png", 3)], "path string, length long")
+    assert [r[0] for r in reports.export_story(store.table("stories"), store.table("chapters"), "ngon-hai-dang").collect()] == [4]
+    listing = spark.createDataFrame([("c/ngon-hai-dang.png", 3)], "path string, length long")
     ingest.covers(store, listing, CONFIG, now())
-    assert store.table("stories").first().cover_url in ("/static/covers/dau-la.png", "https://example.org/og.png")
+    assert store.table("stories").first().cover_url in ("/static/covers/ngon-hai-dang.png", "https://example.org/art/salt.webp")
 
 
 def test_stream(spark, tmp_path):
