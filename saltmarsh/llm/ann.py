@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph, searched greedily.
 
-Equal vectors are one node. A node's code is its direction in 32-bit numbers, with its norm
-beside it as a share of the greatest norm: neither loses precision by what other vectors are
-like. Neighbours are those at the least distance after vectors are extended by one component
+Equal vectors are one node. A node's code is its direction in 16-bit numbers, scaled to its own
+largest component, with its norm beside it as a share of the greatest norm: neither loses
+precision by what other vectors are like. Neighbours are those at the least distance after vectors are extended by one component
 to the greatest norm. The graph starts from random blocks and is improved by rounds in which
 Spark joins bring each node's neighbours, and those that have it as a neighbour, together with
 their codes; pairs among these (neighbours of neighbours) that beat what a node has replace
 it. Queries walk the graph from bounded samples of entry nodes (of all nodes, and those of the
 greatest norms) and from their own node, and what they end with is scored in double precision
-on the original vectors.
+on the original vectors. Vectors of different lengths have no inner product: each length is a
+table of its own.
+
+Null ids, and vectors that are null, empty, zero or hold null or non-finite components take no
+part; rows that repeat both id and vector count once; an empty table has no result.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import checkpoint
+from saltmarsh.llm.common import checkpoint, release
 
 #: Neighbours of a node and nodes that a query keeps, in tables of up to SMALL nodes; `kept_of` has those of larger ones.
-NEIGHBOURS, BEAM, SMALL = 32, 256, 8192
+NEIGHBOURS, BEAM, SMALL = 32, 128, 8192
 #: Those that have a node as a neighbour and meet in one part of its neighbourhood; in a search, those that lead on from it.
 REVERSE = 32
 #: The share of changed edges below which rounds end.
@@ -36,22 +40,19 @@ STEP = 64
 
 
 def kept_of(n: int) -> tuple[int, int]:
-    """Neighbours of a node and nodes that a query keeps, in a table of n nodes: four more neighbours
-    and a beam larger by the square root of two each time that n doubles."""
+    """Neighbours of a node and nodes that a query keeps, in a table of n nodes: two more neighbours each time that
+    n doubles, and a beam that grows with the fourth root of n."""
     times = max(n / SMALL, 1)
-    return NEIGHBOURS + round(4 * math.log2(times)), round(BEAM * times**0.5)
+    return NEIGHBOURS + round(2 * math.log2(times)), round(BEAM * times**0.25)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>): rows with an id and a vector whose components are finite and not
-    all zero. Where lengths differ, those of the most common length (the shortest such) take part."""
+    """(vec_id, v array<double>): rows with an id and a vector whose components are finite and not all zero."""
     v = F.col(vector).cast("array<double>")
     sound = F.size(v) > 0
     for bad in (F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), ~F.exists(v, lambda x: x != 0)):
         sound = sound & ~F.coalesce(bad, F.lit(True))
-    kept = vectors.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    common = kept.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return kept.filter(F.size("v") == (common["n"] if common else 0))
+    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def nodes(kept: DataFrame, copies: int) -> DataFrame:
@@ -63,8 +64,9 @@ def nodes(kept: DataFrame, copies: int) -> DataFrame:
 
 
 def coded(found: DataFrame) -> DataFrame:
-    """(node, v, ids) -> (node, norm double, code binary): the norm as a share of the greatest, and the
-    code, which is the norm as a 64-bit number and then the vector's direction in 32-bit numbers."""
+    """(node, v, ids) -> (node, norm double, code binary): the norm as a share of the greatest, and the code, which is
+    the norm as a 64-bit number, the direction's largest component as a 32-bit one, and the direction in 16-bit
+    numbers of which the largest component is the greatest."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = found.agg(F.max(norm)).first()[0] or 1.0
 
@@ -72,17 +74,23 @@ def coded(found: DataFrame) -> DataFrame:
         for batch in batches:
             x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
             size = np.sqrt((x * x).sum(1))
-            share, unit = size / longest, (x / np.where(size > 0, size, 1)[:, None]).astype("<f4")
-            codes = [n.tobytes() + u.tobytes() for n, u in zip(share.astype("<f8"), unit)]
+            share, codes = size / longest, encoded(size / longest, x / np.where(size > 0, size, 1)[:, None])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(share), pa.array(codes, pa.binary())], ["node", "norm", "code"])
 
     return found.select("node", "v").mapInArrow(run, "node long, norm double, code binary")
 
 
+def encoded(norm: np.ndarray, unit: np.ndarray) -> list[bytes]:
+    most = np.maximum(np.abs(unit).max(1), 1e-30)
+    steps = np.rint(unit / most[:, None] * 32767).astype("<i2")
+    return [n.tobytes() + m.tobytes() + u.tobytes() for n, m, u in zip(norm.astype("<f8"), most.astype("<f4"), steps)]
+
+
 def _decoded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Norms and directions of codes."""
     data = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return np.ascontiguousarray(data[:, :8]).view("<f8")[:, 0], np.ascontiguousarray(data[:, 8:]).view("<f4")
+    most = np.ascontiguousarray(data[:, 8:12]).view("<f4") / np.float32(32767)
+    return np.ascontiguousarray(data[:, :8]).view("<f8")[:, 0], np.ascontiguousarray(data[:, 12:]).view("<i2") * most
 
 
 def _closeness(norm: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -194,7 +202,8 @@ def graph(codes: DataFrame) -> DataFrame:
         both = forth.select(*columns).unionByName(back.select(*columns)).repartition("at").groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
         told = both.join(codes.select(F.col("node").alias("member"), "code").join(bar, "member", "left"), "member").select("at", "member", "fresh", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"), "code")
         offers = told.repartition("at").sortWithinPartitions("at", "member").mapInArrow(lambda found: _join(found, neighbours), EDGE)
-        edges = kept(edges.select("node", "near", "score", F.lit(False).alias("fresh")).unionByName(offers.withColumn("fresh", F.lit(True))))
+        before, edges = edges, kept(edges.select("node", "near", "score", F.lit(False).alias("fresh")).unionByName(offers.withColumn("fresh", F.lit(True))))
+        release(before)
         changed, turn = edges.agg(F.count_if("fresh"), F.count("*")).first(), turn + 1
         if changed[0] <= CHANGED * changed[1]:
             return edges.select("node", "near", "score")
@@ -280,25 +289,32 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     beam = advance(queries.mapInArrow(enter, schema).unionByName(own).withColumn("done", F.lit(False)), None)
     while not beam.filter("front").isEmpty():
         met = beam.filter("front").select("q", F.col("near").alias("at")).join(around, "at").select("q", F.explode("around").alias("near")).distinct()
-        beam = advance(beam, met.join(codes.select(F.col("node").alias("near"), "code"), "near"))
+        before, beam = beam, advance(beam, met.join(codes.select(F.col("node").alias("near"), "code"), "near"))
+        release(before)
+    release(around)
     return beam.select("q", "near")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on vec_id) holds for, its
-    k nearest among all other rows by inner product in double precision, ties to the smaller vec_id.
-
-    Rows with null, zero or non-finite vectors take no part. Rows that repeat both id and vector
-    count once. A query with no other row has no result.
-    """
+    """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on vec_id) holds for, its k nearest
+    among all other rows with vectors of its length by inner product in double precision, ties to the smaller vec_id.
+    A query with no other row has no result."""
     kept = usable(vectors)
+    lengths = [r["n"] for r in kept.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    found = [_nearest(kept.filter(F.size("v") == n), is_query, k) for n in lengths or [0]]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]
+
+
+def _nearest(kept: DataFrame, is_query, k: int) -> DataFrame:
     distinct = checkpoint(nodes(kept, k + 1))
     codes = checkpoint(coded(distinct))
     edges = graph(codes)
-    asking = kept.filter(is_query).distinct().join(distinct.select("v", "node"), "v").select("vec_id", "node", "v")
-    asking = checkpoint(asking)
-    queries = codes.join(asking.select("node").distinct(), "node").select(F.col("node").alias("q"), F.col("code").alias("query"), F.col("node").alias("own"))
-    found = search(checkpoint(queries), codes, edges)
+    asking = checkpoint(kept.filter(is_query).distinct().join(distinct.select("v", "node"), "v").select("vec_id", "node", "v"))
+    queries = checkpoint(codes.join(asking.select("node").distinct(), "node").select(F.col("node").alias("q"), F.col("code").alias("query"), F.col("node").alias("own")))
+    found = search(queries, codes, edges)
+    release(edges, queries, codes)
     sides = found.join(distinct.select(F.col("node").alias("near"), F.col("v").alias("other"), "ids"), "near").join(distinct.select(F.col("node").alias("q"), "v"), "q")
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
