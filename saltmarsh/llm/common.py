@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,33 @@ def batches(found: Iterable[pa.RecordBatch], rows: int = 256, mb: int = 8) -> It
                 part = batch.slice(at, size)
             yield part
             at += size
+    trim()
+
+
+def trim() -> None:
+    """Gives back what a Python worker has freed: workers go on to other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def of_texts(run: Callable[[list[str | None]], list], kind: str, done: Callable[[], None] = lambda: None):
+    """A column function of a text column, by slices of 256 texts; `done` is called at the end of a task's rows."""
+    import pandas as pd
+
+    def each(parts):
+        for texts in parts:
+            out: list = []
+            for at in range(0, len(texts), 256):
+                out += run([t if isinstance(t, str) else None for t in texts.iloc[at : at + 256]])
+            yield pd.Series(out, dtype="object" if kind == "string" else {"double": "float64", "long": "int64"}[kind])
+        done()
+        trim()
+
+    each.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(each, kind)
 
 
 def unsigned(values: pa.Array) -> list[int]:

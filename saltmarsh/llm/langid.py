@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import batches, remainder
+from saltmarsh.llm.common import batches, of_texts, remainder
 from saltmarsh.llm.learn import sample
 
 LETTER = regex.compile(r"\p{L}")
@@ -71,12 +71,16 @@ class Model:
         """Language, score and rejection for each text: without a letter `und`, 0 and rejected."""
         if not texts or not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        found = np.stack([counts(t) for t in texts])
-        cosine = self.vectors(found) @ self.centroids.T
+        cosine, size = [], []
+        for at in range(0, len(texts), 64):  # a text's counts take 64 KB
+            found = np.stack([counts(t) for t in texts[at : at + 64]])
+            cosine.append(self.vectors(found) @ self.centroids.T)
+            size.append(sizes(found))
+        cosine = np.concatenate(cosine)
         best = cosine.argmax(1)
         near = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         known = [has_letter(t) for t in texts]
-        far = 1 - near > self.reach[best, sizes(found)]
+        far = 1 - near > self.reach[best, np.concatenate(size)]
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(near, known)], [bool(f) or not k for f, k in zip(far, known)]
 
 
@@ -209,15 +213,10 @@ def digest(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not rejected, with the predicted language as their lang where docs have that column."""
 
-    @F.pandas_udf("string")
-    def spoken(texts):
-        import pandas as pd
-
-        out = []
-        for at in range(0, len(texts), 256):
-            lang, _, rejected = model.predict([t if isinstance(t, str) else None for t in texts.iloc[at : at + 256]])
-            out += [None if r else x for x, r in zip(lang, rejected)]
-        return pd.Series(out, dtype="object")
+    def run(texts: list[str | None]) -> list[str | None]:
+        lang, _, rejected = model.predict(texts)
+        return [None if r else x for x, r in zip(lang, rejected)]
 
+    spoken = of_texts(run, "string")
     found = docs.select(F.struct("*").alias("row"), spoken(F.col("text")).alias("spoken")).filter("spoken is not null")
     return found.select(*(F.col("spoken").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

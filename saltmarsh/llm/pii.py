@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import batches, checkpoint
+from saltmarsh.llm.common import batches, checkpoint, of_texts
 from saltmarsh.llm.surrogates import GENDER, canonical, labelled, replaceable, surrogate
 
 #: The setting that has a run's key.
@@ -273,10 +273,7 @@ def resolve(docs: DataFrame, key: bytes, tries: int = 16) -> bytes:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with every text replaced; other columns, n_chars too, stay as they are."""
 
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: replace(t, key)[0], na_action="ignore")
-
+    run = of_texts(lambda texts: [replace(t, key)[0] for t in texts], "string")
     return docs.select(*(run(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import batches, checkpoint, unsigned
+from saltmarsh.llm.common import batches, checkpoint, of_texts, unsigned
 from saltmarsh.llm.graph import components
 
 SEED = 42
@@ -198,10 +198,7 @@ def representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row of docs for each component: that with the smallest doc_id (a null one comes last) and
     fingerprint, once if it is repeated. Columns are those of docs."""
 
-    @F.pandas_udf("long")
-    def printed(texts):
-        return texts.map(lambda t: _signed(fingerprint(t if isinstance(t, str) else None))).astype("int64")
-
+    printed = of_texts(lambda texts: [_signed(fingerprint(t)) for t in texts], "long")
     _, rooted = _rooted(docs.select("doc_id", "text"), radius)
     place = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
     first = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.first").alias("__first"), F.col("p.fp").alias("__fp"))

@@ -281,7 +281,7 @@ def _person(key: bytes, role: str, text: str) -> str:
     return "".join(out)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 13)
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The replacement of an entity; kind is one of email, secret, ip, account, phone, id, iban, f, m, n (given
     name of a woman, of a man, of either), family."""

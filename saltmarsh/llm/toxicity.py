@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import batches, remainder
+from saltmarsh.llm.common import batches, of_texts, remainder
 from saltmarsh.llm.learn import sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 #: Training texts below which a word has no share in training.
 RARE = 3
 #: Words whose numbers a Python worker keeps before it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -158,6 +158,10 @@ _known: dict[str, float] = {}
 _of = None
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def score(model: Model, texts: list[str | None]) -> list[float]:
     """A score between 0 and 1 for each text, higher if label 1 is likelier."""
     global _of
@@ -195,10 +199,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose score stays below THRESHOLD."""
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series([x for at in range(0, len(texts), 256) for x in score(model, texts.iloc[at : at + 256].tolist())], dtype="float64")
-
+    of = of_texts(lambda texts: score(model, texts), "double", forget)
     return docs.filter(of(F.col("text")) < THRESHOLD)
