@@ -29,7 +29,7 @@ BUCKETS, CENTROIDS = 1 << 13, 4
 PER_CLASS, MAX_CHARS = 600, 50_000
 #: How much farther from a centroid than its farthest training text of that size a text may be, and the distance
 #: that is never accepted (texts of other scripts share next to nothing).
-SLACK, FAR = 0.05, 0.97
+SLACK, FAR = 0.1, 0.97
 #: Characters of the pieces of training texts from which the reach of short texts is learned; texts of a size that a
 #: centroid needs for a reach of its own, else it has that of its language; sizes, as powers of two of n-grams.
 PIECES, ENOUGH, SIZES = (12, 24, 48, 96, 192, 384, 768), 30, 28
