@@ -417,6 +417,23 @@ def recall_of(spark, x, k=20):
     return hit / (k * len(got))
 
 
+def files_of(spark):
+    """Bytes of the shuffle files and checkpoints that there are."""
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    kept = os.path.normpath(sc.getCheckpointDir().removeprefix("file:"))
+    return sum(found.apply(i).length() for i in range(found.size())) + sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(kept) for f in names)
+
+
+def test_disk_stays_near_the_size_of_the_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(2500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = files_of(spark)
+    assert ann.digest(df).count() == 125 * 20
+    # all that was written and is still there, at 4 bytes a component; joins of edges with codes wrote many times that
+    assert files_of(spark) - before < 10 * 4 * x.size
+
+
 def test_one_long_vector_leaves_the_others_apart(spark):
     x = np.random.default_rng(5).normal(size=(2500, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
