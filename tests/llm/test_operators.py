@@ -434,6 +434,16 @@ def test_disk_stays_near_the_size_of_the_vectors(spark):
     assert files_of(spark) - before < 10 * 4 * x.size
 
 
+def test_a_search_makes_few_rows_for_each_shard(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 100)
+    assert [ann.shards_of(n, 140) for n in (0, 1, 100, 400, 10_000)] == [1, 1, 1, 2, 10] and ann.shards_of(1000, 1 << 20) == 4
+    x = np.random.default_rng(8).normal(size=(900, 16))
+    codes = ann.coded(spark.createDataFrame([(i, v.tolist(), [i]) for i, v in enumerate(x)], "node long, v array<double>, ids array<long>")).persist()
+    queries = codes.filter("node % 20 = 0").select(F.col("node").alias("q"), F.col("code").alias("query"), F.col("node").alias("own"))
+    got = ann.search(queries, codes, keep=10).groupBy("q").agg(F.count("*").alias("n"), F.countDistinct("near").alias("of")).collect()
+    assert len(got) == 45 and all(r.n == r.of == 3 * 10 for r in got)  # three shards; rows don't grow with beam and steps
+
+
 def test_one_long_vector_leaves_the_others_apart(spark):
     x = np.random.default_rng(5).normal(size=(2500, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
