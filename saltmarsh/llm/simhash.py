@@ -201,10 +201,11 @@ def representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
     printed = of_texts(lambda texts: [_signed(fingerprint(t)) for t in texts], "long")
     _, rooted = _rooted(docs.select("doc_id", "text"), radius)
     place = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
-    first = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.first").alias("__first"), F.col("p.fp").alias("__fp"))
-    named = docs.withColumn("__print", printed("text"))
-    kept = named.join(first, named["doc_id"].eqNullSafe(first["__first"]) & (named["__print"] == first["__fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__print"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = rooted.groupBy("root").agg(F.min(place).alias("p")).select(F.struct(F.col("p.first").alias("doc_id"), F.col("p.fp").alias("print")).alias("__first"))
+    # one key, in which nulls are equal, so that texts are shuffled and sorted once for the join and the repeated rows
+    named = docs.withColumn("__key", F.struct("doc_id", printed("text").alias("print")))
+    kept = named.join(first, named["__key"] == first["__first"], "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -492,6 +492,20 @@ def test_each_length_is_a_table_of_its_own(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.digest(df).collect()) == [(0, 1, 3), (20, 1, 4), (20, 2, 5)]
 
 
+def test_representatives_shuffle_texts_once(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 50 == 0 else i, " ".join(rng.randbytes(8).hex() for _ in range(300))) for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:100], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = files_of(spark)
+        assert sorted(r.text for r in simhash.representatives(df).collect()) == sorted(t for _, t in rows)  # those without an id too, and no row twice
+        assert files_of(spark) - before < 1.5 * sum(len(t) for _, t in rows + rows[:100])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 # --- WARC
 
 
