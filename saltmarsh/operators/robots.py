@@ -99,13 +99,14 @@ def group(groups: Column, token: Column) -> Column:
     return F.when(named.isNotNull(), F.get(groups, -named["order"])).otherwise(F.get(star, F.lit(0)))
 
 
-def current(files: DataFrame, now: Column, ttl_s: float = 12 * 3600, failure_ttl_s: float = 300) -> DataFrame:
+def current(files: DataFrame, now: Column, ttl_s: float = 12 * 3600, failure_ttl_s: float = 300, latest: Column | None = None) -> DataFrame:
     """files (origin, status int, body, fetched_at) -> (origin, readable, groups): the latest file of each
-    origin that is still young enough. 4xx allows all, other statuses and null are unreadable."""
+    origin that is still young enough. 4xx allows all, other statuses and null are unreadable. The latest is
+    that with the greatest `latest`, which is fetched_at where it isn't given."""
     readable = F.coalesce(F.col("status").between(200, 299) | F.col("status").between(400, 499), F.lit(False))
     age = F.unix_timestamp(now) - F.unix_timestamp(F.col("fetched_at").cast("timestamp"))
     young = files.withColumn("readable", readable).filter((age >= 0) & (age < F.when(F.col("readable"), ttl_s).otherwise(failure_ttl_s)))
-    last = young.groupBy("origin").agg(F.max_by(F.struct("readable", "status", "body"), "fetched_at").alias("f"))
+    last = young.groupBy("origin").agg(F.max_by(F.struct("readable", "status", "body"), F.col("fetched_at") if latest is None else latest).alias("f"))
     body = F.when(F.col("f.status").between(200, 299), F.substring("f.body", 1, 512 << 10))
     return last.select("origin", F.col("f.readable").alias("readable"), F.coalesce(_parse(body), F.array().cast(GROUPS)).alias("groups"))
 
