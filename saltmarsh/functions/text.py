@@ -53,6 +53,13 @@ def key(values: pd.Series) -> pd.Series:
     return values.map(slug, na_action="ignore")
 
 
+@arrow_udf("cleaned string, key string")
+def clean_and_key(values: pd.Series) -> pd.DataFrame:
+    """clean_text, and the key of that, in one pass; nulls stay null."""
+    cleaned = [None if v is None else clean(v) for v in values]
+    return pd.DataFrame({"cleaned": cleaned, "key": [None if c is None else slug(c) for c in cleaned]}, dtype="object")
+
+
 def collapse(value: Column) -> Column:
     """clean_text for text that has no entities and is in NFC already; stays in the JVM."""
     return F.regexp_replace(F.regexp_replace(value, BLANKS, " "), "^ | $", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qs, urldefrag, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -14,8 +15,22 @@ from saltmarsh.functions.arrow import arrow_udf
 RESERVED = frozenset(["", "truyen", "bang-xep-hang", "sitemap.xml", "login", "register", "api", "favicon.ico"])
 
 
+#: Path, query and fragment of a link from the site's root, in letters of which joining changes none.
+_ROOTED = re.compile(r"(/(?:[\w~-][\w.~-]*+/?+)*+)(\?[\w.~%=&+:/-]++)?+(#[\w.~-]++)?+", re.ASCII)
+_SITE = re.compile(r"(https?)://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?::[0-9]{1,4})?(?=[/?#]|\Z)")
+
+
+def _rooted(base: str, href: str | None) -> tuple[str, re.Match[str]] | None:
+    """The base's site and the link's parts where the joined URL is one behind the other, as with most links; else None."""
+    link = _ROOTED.fullmatch(href or "")
+    site = _SITE.match(base) if link else None
+    return (site[0], link) if site else None
+
+
 def resolve(base: str, href: str | None) -> str:
     """An absolute URL without its fragment; empty where it can't be read."""
+    if found := _rooted(base, href):
+        return found[0] + found[1][1] + (found[1][2] or "")
     try:
         return urldefrag(urljoin(base, (href or "").strip())).url
     except ValueError:
@@ -24,26 +39,38 @@ def resolve(base: str, href: str | None) -> str:
 
 def story_url(base: str, href: str | None) -> tuple[str, str] | None:
     """(URL, slug) of a link to a story: https, the base's host, one path segment that isn't reserved."""
-    try:
-        parts, host = urlsplit(urljoin(base, href or "")), urlsplit(base).hostname
-        if parts.scheme != "https" or parts.hostname != host:
+    if found := _rooted(base, href):
+        if not found[0].startswith("https:"):
             return None
-    except ValueError:
-        return None
-    slug = parts.path.strip("/")
+        path = found[1][1]
+        full = found[0] + path
+    else:
+        try:
+            parts, host = urlsplit(urljoin(base, href or "")), urlsplit(base).hostname
+            if parts.scheme != "https" or parts.hostname != host:
+                return None
+        except ValueError:
+            return None
+        path = parts.path
+        full = urlunsplit((parts.scheme, parts.netloc, path, "", ""))
+    slug = path.strip("/")
     if "/" in slug or slug in RESERVED:
         return None
-    return urlunsplit((parts.scheme, parts.netloc, parts.path, "", "")), slug
+    return full, slug
 
 
 def image_url(base: str, src: str | None) -> str:
     """The picture behind a resizing proxy's `url` parameter, or the resolved address."""
-    try:
-        full = urljoin(base, src or "")
-        parts = urlsplit(full)
-    except ValueError:
-        return ""
-    inner = parse_qs(parts.query).get("url", [""])[0] if parts.path == "/_next/image" else ""
+    if found := _rooted(base, src):
+        full, path, query = found[0] + found[1][0], found[1][1], (found[1][2] or "?")[1:]
+    else:
+        try:
+            full = urljoin(base, src or "")
+            parts = urlsplit(full)
+        except ValueError:
+            return ""
+        path, query = parts.path, parts.query
+    inner = parse_qs(query).get("url", [""])[0] if path == "/_next/image" else ""
     return inner or full
 
 

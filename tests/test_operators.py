@@ -1,9 +1,11 @@
 import random
+from urllib.parse import urldefrag, urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.config import Config
+from saltmarsh.functions import urls as U
 from saltmarsh.operators import html, jobs, merge, pacing, robots
 from saltmarsh.plans import reports
 from saltmarsh.sources import captures as C
@@ -49,6 +51,30 @@ def test_chapter(spark):
     assert all(found[u].error and found[u].content is None for u in found if u != "https://e.org/s/4")
 
 
+@pytest.mark.parametrize(
+    ("source", "plain"),
+    [(CATALOG, True), (STORY, True), (CHAPTER, False), ("a &amp b<p c=d E f='&lt;'>g<BR/><svg><path/></svg>&", True), ("<p a=b/>c", False), ("<p a='>'>b", False), ("a < b<p>c", False), ("<title>a<b>c</title>d", False), ("a<!-- <p> -->b", False), ("<p a=1 a=2 b>c</p >d", False), ("", True)],
+)
+def test_plain_pages_are_read_as_by_the_tokenizer(source, plain):
+    def told(top):
+        return [(n.tag, list(n.attrs.items()), n.depth, n.main, n.text()) for n in top.walk()], top.text()
+
+    builder = html._Builder()
+    builder.feed(source)
+    builder.close()
+    assert told(html.tree(source)) == told(builder.top) and (html._plain(source) is not None) == plain
+
+
+def test_links_from_the_root_are_joined_as_any():
+    bases = ["https://e.org/a?b", "http://e.org:80", "https://E.org/", "https://u@e.org/", "", "ftp://e.org/", "https://e.org\\x"]
+    for base, href in [(b, h) for b in bases for h in ("/", "/a", "/a/b?c=d#e", "/a/../b", "//f.org/g", "/a//b", "/.a", "/a?", "/a;b", "/é", " /a", "?a", "", "/_next/image?w=1&url=https%3A%2F%2Ff.org%2Fg.png")]:
+        joined = urldefrag(urljoin(base, href.strip())).url
+        assert U.resolve(base, href) == joined
+        found = U.story_url(base, href)
+        assert found is None or found[0] == urljoin(base, href).split("?")[0].split("#")[0]
+        assert U.image_url(base, href) == ("https://f.org/g.png" if "url=" in href else urljoin(base, href))
+
+
 def test_deep_and_broken_pages():
     deep = html.tree("<div>" * 30000 + "x")
     assert deep.text() == "x" and html.tree("</p></div><b>a").text() == "a" and html.tree(None).text() == ""
