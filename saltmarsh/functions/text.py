@@ -93,7 +93,11 @@ def matched_count(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def rating(text: Column) -> Column:
-    return F.replace(matched(text, RATING), F.lit(","), F.lit(".")).cast("double")
+    return rating_of(F.regexp_extract(text, RATING, 1))
+
+
+def rating_of(found: Column) -> Column:
+    return F.replace(F.nullif(found, F.lit("")), F.lit(","), F.lit(".")).cast("double")
 
 
 def card_rating(text: Column) -> Column:
@@ -116,7 +120,11 @@ def status(text: Column) -> Column:
 
 def date(text: Column) -> Column:
     """`D tháng M năm YYYY`; days that a month doesn't have run into the next one, others give null."""
-    d, m, y = (matched(text, DATE, i).cast("int") for i in (1, 2, 3))
+    return date_of(*(F.regexp_extract(text, DATE, i) for i in (1, 2, 3)))
+
+
+def date_of(day: Column, month: Column, year: Column) -> Column:
+    d, m, y = (F.nullif(x, F.lit("")).cast("int") for x in (day, month, year))
     first = F.when(d.between(1, 31) & m.between(1, 12) & (y >= 1), F.make_date(y, m, F.lit(1)))
     return F.date_add(first, d - 1)
 
